@@ -7,15 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import neighbours
+from . import mixing, neighbours, packing, toxicity
+from .tokens import count_tokens
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "assertions"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(table(spark, d, "documents"), "doc_id", "text", ("source",))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text packed once per capacity."""
+    return packing.assign(_sizes(spark, d), table(spark, d, "pack_targets"), tiered=False)
+
+
+def p6_pack_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text packed once, in the tier of its length or in a gap of a longer one."""
+    return packing.assign(_sizes(spark, d), table(spark, d, "pack_targets"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p6_pack(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "source_targets"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "source_targets"))[1]
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"), keep=("source",))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("flagged").select("doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found,)}
+    return {f.__name__: f for f in (p2_found, p6_pack, p6_pack_tiers, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
