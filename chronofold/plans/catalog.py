@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import training
+from . import ledger, streams, training
 
-_MODULES = [training]
+_MODULES = [ledger, streams, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,7 +74,7 @@ WITH a AS (SELECT DISTINCT tenant_id, assertion_id, status, system_from, source_
        SELECT 'assertions.source_artifact_id', a.assertion_id, a.system_from, t.artifact_id, t.status, t.created_at
        FROM a LEFT JOIN t ON t.tenant_id = a.tenant_id AND t.artifact_id = a.source_artifact_id WHERE a.source_artifact_id IS NOT NULL),
      f AS (
-       SELECT DISTINCT ref_field, record_id, year(ts) * 100 + month(ts) AS period,
+       SELECT DISTINCT ref_field, record_id, year(ts AT TIME ZONE 'UTC') * 100 + month(ts AT TIME ZONE 'UTC') AS period,
               CASE WHEN target IS NULL THEN 'missing' WHEN status = 'deleted' THEN 'deleted' WHEN recorded > ts THEN 'late' END AS reason
        FROM r)
 """
