@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 SHARD_ITEMS = 50_000
 STEP_CONTAINERS = 8
 #: A shorter container that would leave more than this share unused gives its items up to the longest tier.
@@ -110,7 +112,8 @@ def assign(items: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: s
     of items or targets gives an empty result; targets are a small table."""
     tiers = sorted((r["capacity_tokens"], r["pack_name"]) for r in targets.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().limit(1000).collect())
     clean = items.select(F.col(key).cast("string").alias("item_id"), F.col(size).cast("long").alias("n")).where("item_id is not null and n > 0").groupBy("item_id").agg(F.max("n").alias("n"))
-    shards = max(1, -(-items.count() // shard_items))
+    clean = Scratch(items.sparkSession, "packing").save(clean)  # sizes are counted once
+    shards = max(1, -(-clean.count() // shard_items))
     ways = [tiers] if tiered else [[t] for t in tiers]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
