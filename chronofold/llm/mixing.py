@@ -100,4 +100,4 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str = "doc_id", source:
     listed = spark.createDataFrame([(s, w, m, have.get(s, (0, 0))[0], have.get(s, (0, 0))[1]) for s, (w, m) in goal.items()], "source string, target_share double, max_repeats int, tokens bigint, n_records bigint")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = listed.join(used, "source", "left").select("source", "target_share", "max_repeats", "tokens", "n_records", zero("used_tokens"), zero("n_used"), zero("most_repeats"))
-    return mixture, out.withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
+    return mixture, out.withColumn("actual_share", F.coalesce(F.try_divide("used_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 1. Parse: usable vectors are kept in a compact lossless form and written once.
 2. Coarse trees: per group with more than SHARD_ROWS vectors a random-projection
-   tree, fitted on a sample of at most FIT_ROWS vectors of all groups together, so
+   tree, fitted on a bounded sample (see FIT_ROWS) of all groups together, so
    that each leaf (a shard) holds about SHARD_ROWS of the rows. Every row is
    indexed in its home shard and searches, besides it, the shards that the
    priority queue over its margins names next.
@@ -21,6 +21,7 @@ which is exact.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,11 @@ from pyspark.sql.window import Window
 
 from ..session import Scratch
 
+#: Rows of the sample: at least FIT_ROWS, four a shard, at most MAX_FIT_ROWS.
 FIT_ROWS = 40_000
+MAX_FIT_ROWS = 2_000_000
 SHARD_ROWS = 40_000
+#: Shards a row searches at most: this many, or as many as its tree has levels.
 SHARD_PROBES = 4
 #: A neighbouring shard is probed if the query lies so near the border (unit vectors).
 SHARD_MARGIN = 0.09
@@ -282,26 +286,32 @@ def _search_shards(dims: int, k: int, least: float | None, trees: int, leaf_rows
     return run
 
 
-def _route(models: dict[str, Forest], dims: int, probes: int, margin: float):
+def _route(models: dict[str, Forest], dims: int, probes: int, margin: float, parts: int):
+    """Adds to each row its home shard and the shards to search besides, and the
+    partition of each: shards of trees one after another, other groups by hash."""
+    starts, total = {}, 0
+    for name, model in models.items():
+        starts[name], total = total, total + len(model.members)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = directions(dims, dims, 3)
         for b in batches:
             g = np.array(b.column("g").to_pylist(), object)
-            row, shard, guest = [], [], []
+            row, shard, guest, pid = [], [], [], []
             p = None
             for name in set(g):
                 rows = np.flatnonzero(g == name)
                 if name not in models:
-                    row.append(rows), shard.append(np.zeros(len(rows), int)), guest.append(np.zeros(len(rows), bool))
+                    row.append(rows), shard.append(np.zeros(len(rows), int)), guest.append(np.zeros(len(rows), bool)), pid.append(np.full(len(rows), zlib.crc32(name.encode()) % parts))
                     continue
                 if p is None:
                     p = unit(decode(b.column("vec").to_pylist(), dims)).astype(np.float32) @ pool
-                who, where = models[name].search(p[rows], probes, margin)
+                who, where = models[name].search(p[rows], max(probes, models[name].depth), margin)
                 first = np.zeros(len(who), bool)
                 first[np.unique(who, return_index=True)[1]] = True  # the home leaf was found first
-                row.append(rows[who]), shard.append(where), guest.append(~first)
+                row.append(rows[who]), shard.append(where), guest.append(~first), pid.append((starts[name] + where) % parts)
             row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([b.column("g").take(row), pa.array(np.concatenate(shard), pa.int32()), pa.array(np.concatenate(guest)), b.column("id").take(row), b.column("vec").take(row)], names=["g", "shard", "guest", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pid), pa.int32()), b.column("g").take(row), pa.array(np.concatenate(shard), pa.int32()), pa.array(np.concatenate(guest)), b.column("id").take(row), b.column("vec").take(row)], names=["pid", "g", "shard", "guest", "id", "vec"])
 
     return run
 
@@ -315,6 +325,7 @@ def _coarse(vectors: DataFrame, dims: int, shard_rows: int, fit_rows: int) -> di
     if not big:
         return {}
     total = sum(r["n"] for r in big)
+    fit_rows = min(MAX_FIT_ROWS, max(fit_rows, 4 * total // shard_rows))
     share = max(1, total // fit_rows)
     fit = vectors.where(F.col("g").isin([r["g"] for r in big]) & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).select("g", "vec").limit(2 * fit_rows).collect()
     pool = directions(dims, dims, 3)
@@ -352,8 +363,10 @@ def nearest(
         copies = rest.join(firsts, ["g", "vec"]).select("g", "id", F.posexplode("near").alias("rank", "neighbour")).select("g", "id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("rank") + 1).alias("rank"))
         index = v.join(rest.select("g", "id"), ["g", "id"], "left_anti")
     models = _coarse(v, dims, shard_rows, fit_rows)
-    spread = index.mapInArrow(_route(models, dims, shard_probes, shard_margin), "g string, shard int, guest boolean, id string, vec binary")
-    spread = spread.repartition("g", "shard").sortWithinPartitions("g", "shard", "guest", "id")
+    shards = sum(len(m.members) for m in models.values())
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards, -(-2 * v.count() // shard_rows))
+    spread = index.mapInArrow(_route(models, dims, shard_probes, shard_margin, parts), "pid int, g string, shard int, guest boolean, id string, vec binary")
+    spread = spread.repartitionById(parts, F.col("pid")).drop("pid").sortWithinPartitions("g", "shard", "guest", "id")
     found = spread.mapInArrow(_search_shards(dims, k, least, trees, leaf_rows, probes), "g string, id string, neighbour string, cosine double")
     order = Window.partitionBy("g", "id").orderBy(F.desc("cosine"), "neighbour")
     found = found.dropDuplicates(["g", "id", "neighbour"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -13,8 +13,9 @@ passages of unlabelled documents (U) by the non-negative risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]).
 
-The threshold maximises recall^2 / share flagged, with recall from confirmed
-documents left out of training and the share from the scores of all documents.
+The threshold flags the share of documents that maximises recall^2 / share, with
+the recall of confirmed documents left out of training, moved to the nearest step
+in the scores of all documents.
 
 Fitting takes at most MAX_CONFIRMED confirmed and MAX_UNLABELLED unlabelled
 documents; scoring, the share flagged and the rates cover every document, whole.
@@ -178,7 +179,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior: float, steps: int = 60, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior: float, steps: int = 100, rate: float = 0.5, decay: float = 1e-7) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with logistic loss, over
     the passages p (confirmed) and u (unlabelled, weighted)."""
     live = np.zeros(bags.n, bool)
@@ -211,9 +212,10 @@ def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior:
 
 
 def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds: int = 2, folds: int = 3, seed: int = 1) -> tuple[Classifier, np.ndarray]:
-    """The classifier and the scores of the confirmed texts, each by a classifier
-    that was fitted without it. prior: share of abusive documents to begin with;
-    each round estimates it from what is flagged."""
+    """The classifier and, for each confirmed text, the share of the unlabelled texts
+    that score at least as high by a classifier fitted without the text. prior:
+    assumed share of abusive documents; it weighs the risk, the threshold does not
+    depend on it."""
     rng = np.random.default_rng(seed)
     bags = _Bags(confirmed + unlabelled)
     if not bags.n or not confirmed:
@@ -252,27 +254,40 @@ def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds
         return model
 
     w, b = train(np.arange(n))
-    held = np.full(n, EMPTY)
+    held = np.ones(n)
     fold = rng.permutation(n) % folds
     for k in range(folds):
         rest = np.flatnonzero(fold != k)
         if len(rest):
             wk, bk = train(rest)
-            s = bags.scores(wk, bk)
-            mine = own & np.isin(bags.text, np.flatnonzero(fold == k))
-            np.maximum.at(held, bags.text[mine], s[bags.passage[mine]])
+            worst = np.full(total, EMPTY)
+            np.maximum.at(worst, bags.text, bags.scores(wk, bk)[bags.passage])
+            level = np.sort(worst[n:])
+            mine = np.flatnonzero(fold == k)
+            held[mine] = 1 - np.searchsorted(level, worst[mine], side="left") / max(1, len(level))
     return Classifier(w, b), held
 
 
-def threshold(held: np.ndarray, scores: np.ndarray, counts: np.ndarray) -> float:
-    """The cut that maximises recall^2 / share flagged; scores and counts are the
-    histogram of all documents, by lower edge."""
-    order = np.argsort(-scores)
-    edge, flagged = scores[order], np.cumsum(counts[order])
-    recall = np.array([(held >= e).mean() for e in edge]) if len(held) else np.zeros(len(edge))
-    if not len(edge) or not recall.max():
+def threshold(held: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> float:
+    """The cut. The share to flag maximises recall^2 / share, with the recall of the
+    left-out confirmed texts at that share (held, see fit). Among the edges of the
+    histogram of all scores that flag about this share the one is taken below which
+    the scores crowd most: the top of the next lump of ordinary documents."""
+    if not len(held) or not len(edges):
         return np.inf
-    return float(edge[np.argmax(recall**2 / flagged)])
+    shares = np.unique(held[held < 0.5])
+    if not len(shares):
+        return np.inf
+    recall = np.array([(held <= q).mean() for q in shares])
+    floor = 1 / max(1.0, counts.sum())
+    best = max(floor, shares[np.argmax(recall**2 / np.maximum(shares, floor))])
+    order = np.argsort(-edges)
+    edge, flagged = edges[order], np.cumsum(counts[order]) / counts.sum()
+    near = np.flatnonzero((flagged >= 0.93 * best) & (flagged <= 1.07 * best))
+    if not len(near):
+        near = np.array([np.argmin(np.abs(flagged - best))])
+    drop = np.array([counts[(edges < edge[i]) & (edges >= edge[i] - 0.25)].sum() - counts[(edges >= edge[i]) & (edges < edge[i] + 0.25)].sum() for i in near])
+    return float(edge[near[np.lexsort((np.abs(flagged[near] - best), -drop))[0]]])
 
 
 def scores(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "abusive", max_confirmed: int = MAX_CONFIRMED, max_unlabelled: int = MAX_UNLABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
