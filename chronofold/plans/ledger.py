@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, context, folds, graph, metrics, records, resolve, search, temporal
+from ..operators import audit, context, folds, graph, intake, metrics, records, resolve, search, temporal
 from ..operators.common import us, visible
 from ..sources.tables import table
 from .sqlguard import read_sql
@@ -536,3 +536,74 @@ def context_bundle(spark, d):
     claims = [r.asDict() for r in resolve_highest_authority(spark, d).orderBy(*resolve.CLAIM).limit(20).collect()]
     b = context.pack_context([("search", hits), ("resolutions", claims)], 6000)
     return spark.createDataFrame([(s["name"], s["complete"], s["characters"], s["text"]) for s in b["sections"]], "section string, complete boolean, characters int, text string")
+
+
+@query("""
+WITH r AS (SELECT tenant_id, artifact_id, created_at, concat(sha256(content), chr(0), media_type, chr(0), source_identity) AS body FROM artifacts),
+     f AS (SELECT tenant_id, artifact_id, min(struct_pack(a := created_at, b := body)).b AS kept FROM r GROUP BY ALL)
+SELECT r.tenant_id, r.artifact_id, CASE WHEN count(*) FILTER (body <> kept) > 0 THEN 'conflict' WHEN count(*) > 1 THEN 'replayed' ELSE 'inserted' END AS outcome, count(*) AS n_requests, count(*) FILTER (body <> kept) AS n_conflicts
+FROM r JOIN f ON f.tenant_id = r.tenant_id AND f.artifact_id = r.artifact_id GROUP BY r.tenant_id, r.artifact_id""")
+def intake_artifacts(spark, d):
+    return intake.put_artifacts(table(spark, d, "artifacts"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT tenant_id, assertion_id, subject_entity_id AS s, predicate AS p, perspective AS v, valid_from, valid_to, system_from, system_to, authority, strength_type AS st, strength_json AS sj, source_artifact_id AS src, supersedes_assertion_id AS up FROM assertions),
+     t AS (SELECT tenant_id, artifact_id, max(CASE WHEN status = 'deleted' THEN 1 ELSE 0 END) AS gone FROM artifacts GROUP BY ALL)
+SELECT a.tenant_id, a.assertion_id,
+  CASE WHEN a.valid_to <= a.valid_from THEN 'valid interval' WHEN a.authority NOT BETWEEN 0 AND 100 THEN 'authority'
+       WHEN (a.st = 'probability' AND TRY_CAST(json_extract_string(a.sj, '$.value') AS DOUBLE) NOT BETWEEN 0 AND 1)
+         OR (a.st = 'interval' AND TRY_CAST(json_extract_string(a.sj, '$.low') AS DOUBLE) > TRY_CAST(json_extract_string(a.sj, '$.high') AS DOUBLE))
+         OR (a.st = 'evidence_count' AND TRY_CAST(json_extract_string(a.sj, '$.supporting') AS DOUBLE) > TRY_CAST(json_extract_string(a.sj, '$.considered') AS DOUBLE)) THEN 'strength'
+       WHEN a.src IS NOT NULL AND t.gone IS NULL THEN 'source not found' WHEN t.gone = 1 THEN 'source deleted'
+       WHEN a.up IS NOT NULL AND o.assertion_id IS NULL THEN 'predecessor not found'
+       WHEN o.s <> a.s OR o.p <> a.p OR o.v <> a.v THEN 'predecessor of another claim'
+       WHEN o.system_from > a.system_from OR o.system_to < a.system_from THEN 'predecessor not open' END AS error
+FROM a LEFT JOIN a o ON o.tenant_id = a.tenant_id AND o.assertion_id = a.up LEFT JOIN t ON t.tenant_id = a.tenant_id AND t.artifact_id = a.src""")
+def intake_assertions(spark, d):
+    a = _assertions(spark, d)
+    return intake.check_assertions(a, a, table(spark, d, "artifacts"))
+
+
+@query(_EDGES + "SELECT relation, 'accepted' AS outcome, count(DISTINCT edge_id) AS n FROM l GROUP BY relation UNION ALL SELECT relation, 'wrong ends', count(DISTINCT edge_id) FROM l GROUP BY relation")
+def intake_lineage(spark, d):
+    """Every edge as it is, and turned round, which no relation here allows."""
+    e = _lineage(spark, d)
+    turned = e.select("tenant_id", "relation", F.col("dst").alias("src"), F.col("src").alias("dst"), "at_us", "edge_id")
+    rows = intake.check_lineage(e.unionByName(turned))
+    return rows.groupBy("relation", F.coalesce("error", F.lit("accepted")).alias("outcome")).agg(F.count_distinct("edge_id").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT tenant_id, effect_id, idempotency_key, created_at, concat(effect_type, chr(0), target, chr(0)) AS body FROM effect_intents),
+     f AS (SELECT tenant_id, idempotency_key, min(struct_pack(a := created_at, b := effect_id, c := body)) AS f FROM r GROUP BY ALL)
+SELECT r.tenant_id, r.effect_id, CASE WHEN r.effect_id = f.f.b THEN 'executed' WHEN r.body = f.f.c THEN 'replayed' ELSE 'conflict' END AS outcome
+FROM r JOIN f ON f.tenant_id = r.tenant_id AND f.idempotency_key = r.idempotency_key""")
+def idempotency_outcomes(spark, d):
+    rows = table(spark, d, "effect_intents").select("tenant_id", "effect_id", "idempotency_key", "created_at", "effect_type", "target").distinct()
+    return intake.replays(rows, ["tenant_id", "idempotency_key"], ["created_at", "effect_id"], S.sha_parts("effect_type", "target")).select("tenant_id", "effect_id", "outcome")
+
+
+@query("""
+SELECT 'timer-' || o_orderkey AS timer_id, epoch_us(o_orderdate) + (o_orderkey % 30) * 86400000000 AS due_us FROM orders
+WHERE o_orderstatus = 'O' AND epoch_us(o_orderdate) + (o_orderkey % 30) * 86400000000 <= epoch_us(TIMESTAMP '1996-01-01') ORDER BY due_us, timer_id LIMIT 100""")
+def timers_due_batch(spark, d):
+    o = table(spark, d, "orders")
+    timers = o.select(F.concat(F.lit("timer-"), F.col("o_orderkey").cast("string")).alias("timer_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("fired").alias("status"), (us("o_orderdate") + (F.col("o_orderkey") % 30) * 86_400_000_000).alias("due_at"))
+    return intake.due_timers(timers, us(F.lit("1996-01-01").cast("timestamp"))).select("timer_id", F.col("due_at").alias("due_us"))
+
+
+@query("""
+WITH k AS (SELECT tenant_id, instance_id, count(*) AS n FROM (SELECT DISTINCT tenant_id, instance_id, effect_id FROM effect_intents) GROUP BY ALL)
+SELECT i.tenant_id, i.instance_id, i.machine_type, i.state, coalesce(k.n, 0) AS n_effects FROM machine_instances i LEFT JOIN k ON k.tenant_id = i.tenant_id AND k.instance_id = i.instance_id WHERE NOT i.terminal""")
+def open_workflows(spark, d):
+    n = table(spark, d, "effect_intents").groupBy("tenant_id", "instance_id").agg(F.count_distinct("effect_id").alias("n"))
+    rows = table(spark, d, "machine_instances").where(~F.col("terminal")).select("tenant_id", "instance_id", "machine_type", "state")
+    return rows.join(n, ["tenant_id", "instance_id"], "left").select("tenant_id", "instance_id", "machine_type", "state", F.coalesce("n", F.lit(0)).alias("n_effects"))
+
+
+@query("""
+SELECT lower(regexp_replace(trim(canonical_name), '\\s+', ' ', 'g')) AS name, count(DISTINCT (tenant_id, entity_id)) AS n_entities, count(DISTINCT canonical_name) AS n_spellings FROM entities GROUP BY 1""")
+def entity_name_spellings(spark, d):
+    name = F.lower(F.regexp_replace(F.trim("canonical_name"), r"\s+", " "))
+    return table(spark, d, "entities").groupBy(name.alias("name")).agg(F.count_distinct("tenant_id", "entity_id").alias("n_entities"), F.count_distinct("canonical_name").alias("n_spellings"))
