@@ -15,6 +15,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "assertions"))
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The up to five most similar assertions of each, of cosine 0.90 or more."""
+    near = neighbours.similar_assertions(table(spark, d, "assertions"), least=0.90)
+    return near.select("id", "neighbour", "rank", "cosine").toDF("assertion_id", "neighbour_id", "rank", "cosine")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"), "doc_id", "text", ("source",))
 
@@ -54,7 +60,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p6_pack, p6_pack_tiers, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p6_pack, p6_pack_tiers, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -327,11 +327,14 @@ def _coarse(vectors: DataFrame, dims: int, shard_rows: int, fit_rows: int) -> di
     total = sum(r["n"] for r in big)
     fit_rows = min(MAX_FIT_ROWS, max(fit_rows, 4 * total // shard_rows))
     share = max(1, total // fit_rows)
-    fit = vectors.where(F.col("g").isin([r["g"] for r in big]) & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).select("g", "vec").limit(2 * fit_rows).collect()
+    names = F.broadcast(vectors.sparkSession.createDataFrame([(r["g"],) for r in big], "g string"))
+    fit: dict[str, list] = {}
+    for r in vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).join(names, "g").select("g", "vec").limit(2 * fit_rows).collect():
+        fit.setdefault(r["g"], []).append(r["vec"])
     pool = directions(dims, dims, 3)
     out = {}
     for r in big:
-        x = [f["vec"] for f in fit if f["g"] == r["g"]]
+        x = fit.get(r["g"])
         if x:
             p = unit(decode([bytes(v) for v in x], dims)).astype(np.float32) @ pool
             out[r["g"]] = Forest(p, 1, max(2, shard_rows / r["n"] * len(x)), 7)
