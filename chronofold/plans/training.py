@@ -134,7 +134,7 @@ SELECT l.tenant_id, l.root AS cycle_id, count(r.assertion_id) AS n_on_cycle, cou
 FROM low l LEFT JOIN ring r ON r.tenant_id = l.tenant_id AND r.assertion_id = l.assertion_id GROUP BY l.tenant_id, l.root""",
     "p4_found": _COVER + "SELECT tenant_id, subject_entity_id, predicate, reach AS gap_from_us, s AS gap_to_us FROM r WHERE s > reach",
     "p4_periods": _COVER + """,
-     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, subject_entity_id, predicate ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS no FROM r)
+     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, subject_entity_id, predicate ORDER BY s, e, reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS no FROM r)
 SELECT tenant_id, subject_entity_id, predicate, CAST(no AS BIGINT) AS period_no, min(s) AS from_us, CASE WHEN max(e) < 9223372036854775807 THEN max(e) END AS to_us, count(*) AS n_intervals
 FROM i GROUP BY tenant_id, subject_entity_id, predicate, no""",
     "p5_found": _P5 + "SELECT DISTINCT ref_field, record_id, reason FROM f WHERE reason IS NOT NULL",
