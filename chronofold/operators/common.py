@@ -21,7 +21,7 @@ def us(c: Column | str) -> Column:
 
 def visible(status: str = "status") -> Column:
     """Neither quarantined nor deleted; a null status counts as visible."""
-    return F.coalesce(~F.col(status).isin("quarantined", "deleted"), F.lit(True))
+    return F.col(status).isNull() | ~F.col(status).isin("quarantined", "deleted")  # reaches the scan
 
 
 def fold_key(*cols: str) -> Column:
