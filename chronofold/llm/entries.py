@@ -16,8 +16,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The up to five most similar assertions of each, of cosine 0.90 or more."""
-    near = neighbours.similar_assertions(table(spark, d, "assertions"), least=0.90)
+    """The five most similar assertions of each with a usable vector, however far."""
+    near = neighbours.similar_assertions(table(spark, d, "assertions"), **neighbours.FAR)
     return near.select("id", "neighbour", "rank", "cosine").toDF("assertion_id", "neighbour_id", "rank", "cosine")
 
 

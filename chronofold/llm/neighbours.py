@@ -43,6 +43,9 @@ SHARD_MARGIN = 0.09
 TREES = 6
 LEAF_ROWS = 64
 PROBES = 18
+#: Settings that also find neighbours without structure (cosines near 0.5 in 64 dimensions): few
+#: large leaves, most of them compared, and shards by nearness of the border alone.
+FAR = {"trees": 1, "leaf_rows": 2_500, "probes": 12, "shard_margin": np.inf}
 MAX_GROUPS_ON_DRIVER = 100_000
 _SCALE = 1e4
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from chronofold.llm import entries
 from chronofold.llm import neighbours as N
 
 DIMS = 16
@@ -89,3 +90,14 @@ def test_copies_repeats_and_unusable_rows(spark):
         mine = got[f"c{i:03d}"]
         assert len(mine) == len(set(mine)) == 5 and all(j != f"c{i:03d}" and j.startswith("c") and c == pytest.approx(1) for j, c in mine)
     assert N.similar_assertions(df.limit(0), 5, dims=DIMS).count() == 0
+
+
+def test_query_gives_every_vector_its_nearest(spark, tmp_path):
+    rows, df = _table(spark, np.random.default_rng(6).standard_normal((6000, 64)), tenants=("a",) * 9 + ("b",))
+    df.write.parquet(str(tmp_path / "assertions.parquet"))
+    got = {}
+    for r in entries.p2_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["assertion_id"], []).append(r["neighbour_id"])
+    want = {k[1]: {j for j, _ in v} for k, v in _brute(rows, 5, 64).items()}
+    assert set(got) == set(want) and all(len(v) == len(set(v)) == 5 for v in got.values())
+    assert sum(len(want[i] & set(v)) for i, v in got.items()) / (5 * len(want)) >= 0.9
