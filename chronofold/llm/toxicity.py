@@ -17,8 +17,10 @@ The threshold flags the share of documents that maximises recall^2 / share, with
 the recall of confirmed documents left out of training, moved to the nearest step
 in the scores of all documents.
 
-Fitting takes at most MAX_CONFIRMED confirmed and MAX_UNLABELLED unlabelled
-documents; scoring, the share flagged and the rates cover every document, whole.
+Fitting takes at most MAX_CONFIRMED confirmed and about MAX_UNLABELLED unlabelled
+documents, and the share to flag is found among these unlabelled documents, no
+finer than one of them; scoring, the cut at that share and the rates cover every
+document, whole.
 """
 
 from __future__ import annotations
@@ -213,7 +215,8 @@ def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior:
 
 def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds: int = 2, folds: int = 3, seed: int = 1) -> tuple[Classifier, np.ndarray]:
     """The classifier and, for each confirmed text, the share of the unlabelled texts
-    that score at least as high by a classifier fitted without the text. prior:
+    that score at least as high by a classifier fitted without the text, at least one
+    text's share. prior:
     assumed share of abusive documents; it weighs the risk, the threshold does not
     depend on it."""
     rng = np.random.default_rng(seed)
@@ -264,7 +267,8 @@ def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds
             np.maximum.at(worst, bags.text, bags.scores(wk, bk)[bags.passage])
             level = np.sort(worst[n:])
             mine = np.flatnonzero(fold == k)
-            held[mine] = 1 - np.searchsorted(level, worst[mine], side="left") / max(1, len(level))
+            # Above all unlabelled texts the share is known no better than to one text of them.
+        held[mine] = np.maximum(1 - np.searchsorted(level, worst[mine], side="left") / max(1, len(level)), 1 / max(1, len(level)))
     return Classifier(w, b), held
 
 

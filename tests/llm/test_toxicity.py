@@ -85,3 +85,14 @@ def test_token_counts(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, "word " * 50_000), (5, "x" * 100_000), (6, "<|endoftext|> é漢字")]
     got = {r["id"]: r["n_tokens"] for r in count_tokens(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
     assert (got[1], got[2], got[3]) == (2, 0, 0) and got[4] >= 50_000 and got[5] > 0 and got[6] > 3
+
+
+def test_share_is_no_finer_than_the_sample():
+    calm, _ = _corpus(400, 0.0, 5)
+    foul, _ = _corpus(60, 1.0, 6)
+    _, held = X.fit(foul, calm)  # most confirmed texts outscore every unlabelled one
+    assert held.min() >= 1 / 400
+    edges, counts = np.arange(100) / 20, np.full(100, 50_000.0)  # 5 million documents
+    counts[-20:] = np.r_[np.full(19, 2_500.0), 1.0]
+    flagged = counts[edges >= X.threshold(held, edges, counts)].sum()
+    assert flagged >= counts.sum() / 400 / 2
