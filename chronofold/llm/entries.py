@@ -39,6 +39,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p6_pack(spark, d))
 
 
+def p6_tiers_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p6_pack_tiers(spark, d))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "source_targets"))[0]
 
@@ -60,7 +64,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p6_pack, p6_pack_tiers, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p6_pack_tiers, p6_tiers_report, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:

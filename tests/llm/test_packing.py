@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronofold.llm import packing
+from chronofold.llm import entries, packing
 
 
 @settings(max_examples=80, deadline=None)
@@ -58,3 +58,17 @@ def test_assign(spark, tiered):
     assert packing.report(out).count() == 2
     assert packing.assign(items.limit(0), targets).count() == 0
     assert packing.assign(items, targets.limit(0)).count() == 0
+
+
+def test_first_query_packs_in_tiers(spark, monkeypatch):
+    import bench
+
+    name = next(n for n in entries.queries() if n.startswith("p6_"))
+    assert name in bench.HEADLINE
+    items = spark.createDataFrame([(f"d{i}", n) for i, n in enumerate([60, 3, 16, 5])], "doc_id string, n_tokens bigint")
+    targets = spark.createDataFrame([("s", 16), ("l", 64)], "pack_name string, capacity_tokens bigint")
+    monkeypatch.setattr(entries, "_sizes", lambda *_: items)
+    monkeypatch.setattr(entries, "table", lambda *_: targets)
+    out = entries.queries()[name](spark, "")
+    assert out.count() == 4 and {r[0] for r in out.where("item_id in ('d0', 'd1')").select("container_id").collect()} == {"l-0-0"}
+    assert entries.p6_tiers_report(spark, "").count() == 2
