@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.supersession(table(spark, d, "assertions")).paths().select(F.col("group_id").alias("tenant_id"), F.col("node_id").alias("assertion_id"), "path")
+    return hierarchy.supersession(table(spark, d, "assertions"), linked_only=False).paths().select(F.col("group_id").alias("tenant_id"), F.col("node_id").alias("assertion_id"), "path")
 
 
 def p3_later_replacements(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +28,8 @@ def p3_later_replacements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_subtrees(spark: SparkSession, d: str) -> DataFrame:
-    """Subtree sizes of every linked assertion off cycles."""
-    rows = hierarchy.supersession(table(spark, d, "assertions")).nodes.where("depth >= 0")
+    """Subtree sizes of every assertion off cycles."""
+    rows = hierarchy.supersession(table(spark, d, "assertions"), linked_only=False).nodes.where("depth >= 0")
     return rows.select(F.col("group_id").alias("tenant_id"), F.col("node_id").alias("assertion_id"), "subtree_size")
 
 

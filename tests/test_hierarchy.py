@@ -3,6 +3,7 @@ import random
 import pytest
 
 from chronofold.operators import hierarchy
+from chronofold.plans import training
 
 SCHEMA = "tenant_id string, assertion_id string, supersedes_assertion_id string, depth int, g string"
 
@@ -72,3 +73,12 @@ def test_chain_star_rings_and_self(spark, monkeypatch):
 def test_empty_and_null(spark, rows):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     assert hierarchy.supersession(df, linked_only=False).nodes.count() == len([r for r in rows if r[0] and r[1]])
+
+
+def test_queries_hold_assertions_without_links(spark, tmp_path):
+    rows = [("t", "a", None), ("t", "b", "a"), ("t", "alone", None), ("t", "x", "x")]
+    spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).write.parquet(str(tmp_path / "assertions.parquet"))
+    paths = {r["assertion_id"]: r["path"] for r in training.p3_paths(spark, str(tmp_path)).collect()}
+    assert paths == {"a": "a", "b": "a/b", "alone": "alone"}
+    sizes = {r["assertion_id"]: r["subtree_size"] for r in training.p3_subtrees(spark, str(tmp_path)).collect()}
+    assert sizes == {"a": 2, "b": 1, "alone": 1}
