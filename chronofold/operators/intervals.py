@@ -21,18 +21,18 @@ ROWS_PER_TASK = 200_000
 
 
 def _sorted_starts(df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
-    """keys, start_us, end_us, reach (largest end before, null at the first start,
-    all as micros), block_; and the end of coverage per key and block."""
-    rows = df.select(*keys, us(start).alias("start_us"), F.coalesce(us(end), F.lit(FOREVER)).alias("end_us")).dropna(subset=[*keys, "start_us"]).where("end_us > start_us")
+    """keys, start_us, end_us, n_ (rows that it stands for), reach (largest end before,
+    null at the first start, all as micros), block_."""
+    rows = df.select(*keys, us(start).alias("start_us"), F.coalesce(us(end), F.lit(FOREVER)).alias("end_us")).dropna(subset=[*keys, "start_us"]).where("end_us > start_us").withColumn("n_", F.lit(1).cast("long"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > rows_per_task)
     parts = F.ceil(F.max("n_") / rows_per_task).cast("int")
     widest = counts.agg(parts.alias("p")).first()["p"]
     if widest is None:
         rows = rows.withColumn("block_", F.lit(0))
     else:
-        cuts = rows.join(counts, keys).groupBy(*keys).agg(F.percentile_approx("start_us", [i / widest for i in range(1, widest)], 10 * widest).alias("cuts_"))
-        cold = rows.join(counts, keys, "left_anti").withColumn("block_", F.lit(0))
-        hot = rows.groupBy(*keys, "start_us").agg(F.max("end_us").alias("end_us")).join(cuts, keys).withColumn("block_", F.size(F.filter("cuts_", lambda c: c <= F.col("start_us")))).drop("cuts_")
+        cuts = rows.drop("n_").join(counts, keys).groupBy(*keys).agg(F.percentile_approx("start_us", [i / widest for i in range(1, widest)], 10 * widest).alias("cuts_"))
+        cold = rows.join(counts.select(*keys), keys, "left_anti").withColumn("block_", F.lit(0))
+        hot = rows.groupBy(*keys, "start_us").agg(F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n_")).join(cuts, keys).withColumn("block_", F.size(F.filter("cuts_", lambda c: c <= F.col("start_us")))).drop("cuts_")
         rows = cold.unionByName(hot)
     inside = Window.partitionBy(*keys, "block_").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("reach", F.max("end_us").over(inside))
@@ -54,14 +54,14 @@ def gaps(df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: in
 def periods(df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """keys, period_no (from 1), from_us, to_us (null: open), n_intervals: the
     continuous periods of each key. The same rows count as in gaps; repeated rows
-    all count in n_intervals, except that within a hot key equal starts count once."""
+    all count in n_intervals."""
     rows = _sorted_starts(df, keys, start, end, rows_per_task)
     opens = F.when(F.col("reach").isNull() | (F.col("start_us") > F.col("reach")), 1).otherwise(0)
     # Of equal intervals the one that opened a period has the smallest reach and stays first.
     inside = Window.partitionBy(*keys, "block_").orderBy("start_us", "end_us", F.col("reach").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("opens_", opens).withColumn("in_block_", F.sum("opens_").over(inside))
     before = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = rows.groupBy(*keys, "block_", "in_block_").agg(F.min("start_us").alias("s_"), F.max("end_us").alias("e_"), F.count(F.lit(1)).alias("n_"), F.sum("opens_").alias("o_"))
+    pieces = rows.groupBy(*keys, "block_", "in_block_").agg(F.min("start_us").alias("s_"), F.max("end_us").alias("e_"), F.sum("n_").alias("n_"), F.sum("opens_").alias("o_"))
     base = pieces.groupBy(*keys, "block_").agg(F.sum("o_").alias("b_")).select(*keys, "block_", F.coalesce(F.sum("b_").over(before), F.lit(0)).alias("base_"))
     whole = pieces.join(base, [*keys, "block_"]).withColumn("period_no", (F.col("base_") + F.col("in_block_")).cast("long"))
     out = whole.groupBy(*keys, "period_no").agg(F.min("s_").alias("from_us"), F.max("e_").alias("e_"), F.sum("n_").alias("n_intervals"))

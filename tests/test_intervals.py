@@ -53,3 +53,11 @@ def test_touching_nested_and_empty(spark):
     assert [tuple(r)[1:] for r in intervals.gaps(df, ["key"], "a", "z").collect()] == [(us(at(6)), us(at(8)))]
     assert intervals.gaps(df.limit(0), ["key"], "a", "z").count() == 0
     assert intervals.periods(df.limit(0), ["key"], "a", "z").count() == 0
+
+
+def test_n_intervals_does_not_depend_on_the_size(spark):
+    rows = [("hot", at(i % 4), at(i % 4 + 1 + i % 3)) for i in range(20)] + [("hot", at(20), at(21 + i)) for i in range(3)] + [("x", at(1), at(2))] * 2
+    df = spark.createDataFrame(rows, "key string, a timestamp, z timestamp")
+    want = {("hot", 1): 20, ("hot", 2): 3, ("x", 1): 2}
+    for cap in (200_000, 6):
+        assert {(r["key"], r["period_no"]): r["n_intervals"] for r in intervals.periods(df, ["key"], "a", "z", cap).collect()} == want
