@@ -14,10 +14,23 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+# Fixed value: characters of a source's content that count, as in the reference.
+SOURCE_CHARACTERS = 4_096
+
 
 def text_of(df: DataFrame) -> Column:
-    """The text an assertion is found by: ids with blanks for underscores, object, kind, perspective."""
-    return F.concat_ws(" ", "subject_entity_id", F.replace(F.col("predicate"), F.lit("_"), F.lit(" ")), S.typed_text("object_json"), F.replace(F.col("kind"), F.lit("_"), F.lit(" ")), "perspective")
+    """The text an assertion is found by: ids with blanks for underscores, object, kind,
+    perspective, and the text of its source if with_sources added it."""
+    source = ["source_text"] if "source_text" in df.columns else []
+    return F.concat_ws(" ", "subject_entity_id", F.replace(F.col("predicate"), F.lit("_"), F.lit(" ")), S.typed_text("object_json"), F.replace(F.col("kind"), F.lit("_"), F.lit(" ")), "perspective", *source)
+
+
+def with_sources(df: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Adds source_text: identity and first 4,096 characters of the source artifact, null
+    unless it is active in all its copies; of differing copies the smallest holds."""
+    text = F.concat_ws(" ", "source_identity", F.substring("content", 1, SOURCE_CHARACTERS))
+    active = artifacts.groupBy("tenant_id", F.col("artifact_id").alias("source_artifact_id")).agg(F.min(text).alias("source_text"), F.min(F.col("status") == "active").alias("active_")).where("active_").drop("active_")
+    return df.join(active, ["tenant_id", "source_artifact_id"], "left")
 
 
 def query_tokens(text: str) -> list[str]:

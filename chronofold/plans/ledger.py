@@ -38,6 +38,10 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
     return temporal.as_of(_assertions(spark, d), AT)
 
 
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    return search.with_sources(_current(spark, d), table(spark, d, "artifacts"))
+
+
 _T = f"TIMESTAMPTZ '{AT}+00'"
 _NOW = f"""
 WITH now AS (
@@ -199,13 +203,13 @@ _SCORES = _NOW + f""",
 
 @query(_SCORES + f"SELECT tenant_id, assertion_id, {_R6.format('lexical')} AS lexical FROM s WHERE lexical > 0")
 def search_lexical(spark, d):
-    rows = _current(spark, d).dropDuplicates(temporal.KEY)
+    rows = _searched(spark, d).dropDuplicates(temporal.KEY)
     return search.scores(rows, search.text_of(rows), QUERY).where("lexical > 0").select("tenant_id", "assertion_id", S.round6(F.col("lexical")).alias("lexical"))
 
 
 @query(_SCORES + f"SELECT tenant_id, assertion_id, {_R6.format('vector')} AS vector FROM s")
 def search_feature_hash(spark, d):
-    rows = _current(spark, d).dropDuplicates(temporal.KEY)
+    rows = _searched(spark, d).dropDuplicates(temporal.KEY)
     return search.scores(rows, search.text_of(rows), QUERY).select("tenant_id", "assertion_id", S.round6(F.col("vector")).alias("vector"))
 
 
@@ -221,7 +225,7 @@ def search_vector_topk(spark, d):
 
 @query(_SCORES + f"SELECT tenant_id, assertion_id, {_R6.format('lexical')} AS lexical, {_R6.format('vector')} AS vector, CAST(NULL AS INTEGER) AS distance, {_R6.format('0.45 * lexical + 0.55 * vector')} AS score FROM s WHERE {_R6.format('lexical')} > 0 OR {_R6.format('vector')} > 0 ORDER BY score DESC, assertion_id LIMIT 20")
 def search_hybrid(spark, d):
-    return search.hybrid(_current(spark, d), QUERY)
+    return search.hybrid(_searched(spark, d), QUERY)
 
 
 _REACH = """,
@@ -248,7 +252,7 @@ def _reached(spark, d, depth):
 SELECT s.tenant_id, s.assertion_id, {_R6.format('lexical')} AS lexical, {_R6.format('vector')} AS vector, CAST(distance AS INTEGER) AS distance, {_R6.format('0.45 * lexical + 0.55 * vector + 0.1 / (1 + distance)')} AS score
 FROM s JOIN h ON h.tenant_id = s.tenant_id AND h.assertion_id = s.assertion_id WHERE {_R6.format('lexical')} > 0 OR {_R6.format('vector')} > 0 ORDER BY score DESC, assertion_id LIMIT 20""")
 def search_hybrid_graph(spark, d):
-    return search.hybrid(_current(spark, d), QUERY, reached=_reached(spark, d, 2))
+    return search.hybrid(_searched(spark, d), QUERY, reached=_reached(spark, d, 2))
 
 
 @query(_NOW + _REACH.format(start=START, depth=3) + "SELECT tenant_id, start, node, distance FROM re")

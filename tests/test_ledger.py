@@ -186,3 +186,11 @@ def test_files(spark, tmp_path):
     assert (e["requestId"], e["input"]) == ("r1", '{"a":1}')
     files.write_lines(spark.createDataFrame([("x 1",)], "line string"), str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).first()[0] == "x 1"
+
+
+def test_search_reads_active_sources(spark):
+    rows = spark.createDataFrame([("t", f"a{i}", f"s{i}", "has_state", '{"type":"string","value":"calm"}', "fact", "p", a) for i, a in enumerate(["live", "gone", None])], "tenant_id string, assertion_id string, subject_entity_id string, predicate string, object_json string, kind string, perspective string, source_artifact_id string")
+    artifacts = spark.createDataFrame([("t", "live", "feed", "copper " + "x" * 4096 + " tin", "active"), ("t", "gone", "feed", "copper", "deleted"), ("u", "live", "feed", "tin", "active")], "tenant_id string, artifact_id string, source_identity string, content string, status string")
+    df = search.with_sources(rows, artifacts)
+    hit = lambda q: {r["assertion_id"] for r in search.scores(df, search.text_of(df), q).where("lexical > 0").collect()}
+    assert df.count() == 3 and hit("copper") == hit("feed") == {"a0"} and hit("tin") == set() and hit("calm") == {"a0", "a1", "a2"}
