@@ -264,7 +264,7 @@ def graph_distance(spark, d):
 def graph_reachable(spark, d):
     now = _assertions(spark, d).where(visible())
     starts = now.where("object_entity_id is not null").select("tenant_id", F.col("subject_entity_id").alias("start"))
-    return graph.distances(graph.entity_edges(now), starts, 1).groupBy("tenant_id", "start").agg(F.count(F.lit(1)).alias("n_reached"))
+    return graph.distances(graph.entity_edges(now), starts).groupBy("tenant_id", "start").agg(F.count(F.lit(1)).alias("n_reached"))
 
 
 _EDGES = """

@@ -194,3 +194,12 @@ def test_search_reads_active_sources(spark):
     df = search.with_sources(rows, artifacts)
     hit = lambda q: {r["assertion_id"] for r in search.scores(df, search.text_of(df), q).where("lexical > 0").collect()}
     assert df.count() == 3 and hit("copper") == hit("feed") == {"a0"} and hit("tin") == set() and hit("calm") == {"a0", "a1", "a2"}
+
+
+def test_reachable_goes_two_hops(spark, tmp_path):
+    from chronofold.plans import ledger
+
+    rows = [("t", "a", "b", "active"), ("t", "b", "c", "active"), ("t", "c", "d", "active")]
+    spark.createDataFrame(rows, "tenant_id string, subject_entity_id string, object_entity_id string, status string").write.parquet(str(tmp_path / "assertions.parquet"))
+    got = {r["start"]: r["n_reached"] for r in ledger.graph_reachable(spark, str(tmp_path)).collect()}
+    assert got == {"a": 3, "b": 4, "c": 4}
