@@ -13,14 +13,15 @@ passages of unlabelled documents (U) by the non-negative risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]).
 
-The threshold flags the share of documents that maximises recall^2 / share, with
-the recall of confirmed documents left out of training, moved to the nearest step
+The class prior is estimated from confirmed documents left out of training, ranked
+among unlabelled ones; that share of all documents is flagged, up to the nearest gap
 in the scores of all documents.
 
-Fitting takes at most MAX_CONFIRMED confirmed and about MAX_UNLABELLED unlabelled
-documents, and the share to flag is found among these unlabelled documents, no
-finer than one of them; scoring, the cut at that share and the rates cover every
-document, whole.
+Fitting takes at most MAX_CONFIRMED confirmed and MAX_UNLABELLED unlabelled
+documents, drawn by a hash of the key, and at most MAX_SINGLE of the passages that
+only one unlabelled document holds (weighted up in turn); all three are parameters.
+The prior is found among these, no finer than one document; scoring, the cut at that
+share and the rates cover every document, whole.
 """
 
 from __future__ import annotations
@@ -40,9 +41,13 @@ from ..session import Scratch
 
 MAX_CONFIRMED = 4_000
 MAX_UNLABELLED = 8_000
-#: Single passages of U beyond this are thinned, and weighted up in turn.
+#: Passages that one unlabelled document holds; beyond this they are thinned, and weighted up in turn.
 MAX_SINGLE = 40_000
 BITS = 20
+#: Log lift (three standard errors below its estimate) from which passages of low-scoring confirmed texts count as a missed family.
+MISSED = 1.0
+#: ... if so many texts share the feature.
+LEAST = 5
 #: Score of a text without words.
 EMPTY = -20.0
 
@@ -213,88 +218,172 @@ def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior:
     return out, float(b)
 
 
-def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds: int = 2, folds: int = 3, seed: int = 1) -> tuple[Classifier, np.ndarray]:
+def share_to_flag(held: np.ndarray) -> float:
+    """The share of unlabelled texts that is abusive, which is also the class prior.
+
+    held: for each confirmed text the share of unlabelled texts that score as high.
+    Confirmed texts are a mixture: readers err, and pick some kinds of abuse more often
+    than others, so a rank is judged by its lift, how much denser confirmed texts lie
+    there than unlabelled ones. Harmless texts have a lift below 1, the upper three
+    quarters of the abusive ones one of `lift`; the share ends where it falls below the
+    geometric mean of 1 and `lift`."""
+    shares = np.unique(held)
+    recall = np.searchsorted(np.sort(held), shares, side="right") / len(held)
+    error = min(1.0, 2 * float((held > 0.5).mean()))
+    top = int(np.argmin(np.abs(recall - error * shares - 0.75 * (1 - error))))
+    lift = max(1.0, float(recall[top] / shares[top]))
+    return float(shares[len(shares) - 1 - np.argmax((recall - np.sqrt(lift) * shares)[::-1])])
+
+
+def _ranks(confirmed: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Shares of unlabelled scores at least as high, no finer than one text."""
+    return np.maximum(1 - np.searchsorted(np.sort(unlabelled), confirmed, side="left") / len(unlabelled), 1 / len(unlabelled))
+
+
+def _lift(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The log of how much more frequent a in n is than b in m, less three standard errors."""
+    return np.log((a + 0.5) / (b + 0.5) * (m + 1) / (n + 1)) - 3 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+class _Trainer:
+    """Fits classifiers to subsets of the confirmed texts over one set of bags."""
+
+    def __init__(self, bags: _Bags, n: int, m: int, max_single: int, seed: int):
+        self.bags, self.n, self.m = bags, n, m
+        self.unlabelled = n + np.arange(m)
+        self.rng = np.random.default_rng(seed)
+        df_u = np.bincount(bags.passage[bags.text >= n], minlength=bags.n)
+        u, single = np.flatnonzero(df_u > 1), np.flatnonzero(df_u == 1)
+        kept = self.rng.permutation(single)[:max_single]
+        self.u, self.u_weight = np.concatenate([u, kept]), np.concatenate([df_u[u].astype(float), np.full(len(kept), len(single) / max(1, len(kept)))])
+        self.per_text = max(1.0, df_u.sum() / max(1, m))
+        # (text, feature), each once
+        starts = np.searchsorted(bags.seg, np.arange(bags.n + 1))
+        count = np.diff(starts)[bags.passage]
+        at = np.repeat(starts[:-1][bags.passage] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        pair = np.unique((np.repeat(bags.text, count) << BITS) + bags.feature[at])
+        self.pair_text, self.pair_feature = pair >> BITS, pair & ((1 << BITS) - 1)
+        self.starts = starts[:-1]
+
+    def _best(self, score: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, its best passage) of the chosen texts that have passages."""
+        part = np.isin(self.bags.text, chosen)
+        text, passage = self.bags.text[part], self.bags.passage[part]
+        order = np.lexsort((score[passage], text))
+        text, passage = text[order], passage[order]
+        last = np.flatnonzero(np.r_[np.diff(text) > 0, True]) if len(text) else np.zeros(0, int)
+        return text[last], passage[last]
+
+    def _count(self, texts: np.ndarray) -> np.ndarray:
+        """How many of the texts hold each feature."""
+        chosen = np.zeros(self.n + self.m, bool)
+        chosen[texts] = True
+        return np.bincount(self.pair_feature[chosen[self.pair_text]], minlength=1 << BITS).astype(float)
+
+    def _odds(self, chosen: np.ndarray) -> np.ndarray:
+        """Of each passage: how over-represented its features are in the chosen texts, in sum."""
+        share = len(chosen) / (self.n + self.m)
+        a = self._count(chosen)
+        every = a + self._count(self.unlabelled)
+        w = np.log((a + 2 * share) / ((every + 2) * share))
+        return self.bags.scores(np.where(every < 2, np.minimum(w, 0.5), w), 0.0)
+
+    def _lifts(self, chosen: np.ndarray, against: np.ndarray) -> np.ndarray:
+        """Of each passage: the lift of its most over-represented feature in the chosen texts."""
+        a = self._count(chosen)
+        lift = np.where(a >= LEAST, _lift(a, self._count(against), len(chosen), len(against)), -np.inf)
+        return np.maximum.reduceat(lift[self.bags.feature], self.starts)
+
+    def with_passages(self, texts: np.ndarray) -> np.ndarray:
+        return texts[np.isin(texts, self.bags.text)]
+
+    def text_scores(self, model: tuple[np.ndarray, float]) -> np.ndarray:
+        worst = np.full(self.n + self.m, EMPTY)
+        np.maximum.at(worst, self.bags.text, self.bags.scores(*model)[self.bags.passage])
+        return worst
+
+    def _odds(self, chosen: np.ndarray) -> np.ndarray:
+        """Of each passage: how over-represented its features are in the chosen texts, in sum."""
+        share = len(chosen) / (self.n + self.m)
+        count = lambda texts: np.bincount(self.pair_feature[np.isin(self.pair_text, texts)], minlength=1 << BITS).astype(float)
+        a = count(chosen)
+        every = a + count(self.unlabelled)
+        w = np.log((a + 2 * share) / ((every + 2) * share))
+        return self.bags.scores(np.where(every < 2, np.minimum(w, 0.5), w), 0.0)
+
+    def train(self, chosen: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarray, float]:
+        """The first round learns from the most over-represented passage of each
+        confirmed text but the least likely quarter, as readers err. Later ones take
+        the passage scored highest where it is abusive, and look among the texts that
+        still score low for families of passages missed so far."""
+        bags = self.bags
+        start = self._odds(chosen)
+        p = self._best(start, chosen)[1]
+        p = p[start[p] >= np.quantile(start[p], 0.25)]
+        for r in range(rounds):
+            model = nnpu(bags, p, self.u, self.u_weight, prior / self.per_text)
+            if r == rounds - 1:
+                break
+            score = bags.scores(*model)
+            text, found = self._best(score, chosen)
+            u_scores = self.text_scores(model)[self.n :]
+            rank = _ranks(score[found], u_scores)
+            high = rank <= share_to_flag(rank)
+            low = text[~high]
+            p = found[high]
+            if len(low):
+                missed = self._lifts(low, self.n + np.flatnonzero(u_scores < score[p].min()))
+                more = self._best(missed, low)[1]
+                p = np.concatenate([p, more[missed[more] >= MISSED]])
+        return model
+
+
+def fit(confirmed: list[str], unlabelled: list[str], prior: float = 0.05, rounds: int = 2, folds: int = 3, seed: int = 1, max_single: int = MAX_SINGLE) -> tuple[Classifier, np.ndarray]:
     """The classifier and, for each confirmed text, the share of the unlabelled texts
     that score at least as high by a classifier fitted without the text, at least one
-    text's share. prior:
-    assumed share of abusive documents; it weighs the risk, the threshold does not
-    depend on it."""
-    rng = np.random.default_rng(seed)
+    text's share. prior: share of abusive documents that these classifiers are fitted
+    with; the last one is fitted with the share estimated by them."""
+    n, m = len(confirmed), len(unlabelled)
     bags = _Bags(confirmed + unlabelled)
-    if not bags.n or not confirmed:
+    if not n or not (bags.text >= n).any():
         return Classifier(np.zeros(1 << BITS), EMPTY), np.zeros(0)
-    n, total = len(confirmed), len(confirmed) + len(unlabelled)
-    own = bags.text < n
-    # Over-representation of features, by texts.
-    def spread(mask: np.ndarray) -> np.ndarray:
-        held = np.bincount(bags.passage[mask], minlength=bags.n)
-        return np.bincount(bags.feature, weights=(held > 0)[bags.seg] * held[bags.seg], minlength=1 << BITS)
-
-    df_u = np.bincount(bags.passage[~own], minlength=bags.n)
-    u = np.flatnonzero(df_u > 1)
-    single = np.flatnonzero(df_u == 1)
-    kept = rng.permutation(single)[:MAX_SINGLE]
-    u_all, u_weight = np.concatenate([u, kept]), np.concatenate([df_u[u].astype(float), np.full(len(kept), len(single) / max(1, len(kept)))])
-    per_text = df_u.sum() / max(1, len(unlabelled))
-
-    def train(chosen: np.ndarray) -> tuple[np.ndarray, float]:
-        part = own & np.isin(bags.text, chosen)
-        share = len(chosen) / total
-        p_count, all_count = spread(part), spread(np.ones(len(part), bool))
-        w = np.log((p_count + 2 * share) / ((all_count + 2) * share))
-        w[all_count < 2] = np.minimum(w[all_count < 2], 0.5)
-        b, pi, model = 0.0, prior, None
-        for r in range(rounds):
-            s = bags.scores(w, b)
-            order = np.lexsort((s[bags.passage[part]], bags.text[part]))
-            text, passage = bags.text[part][order], bags.passage[part][order]
-            last = np.flatnonzero(np.r_[np.diff(text) > 0, True])
-            best = passage[last]
-            cut = np.quantile(s[best], 0.25)
-            p = best[s[best] >= cut]  # readers err: the least likely quarter is left to U
-            w, b = nnpu(bags, p, u_all, u_weight, pi / per_text)
-            model = w, b
-        return model
-
-    w, b = train(np.arange(n))
+    trainer = _Trainer(bags, n, m, max_single, seed)
     held = np.ones(n)
-    fold = rng.permutation(n) % folds
+    fold = trainer.rng.permutation(n) % folds
     for k in range(folds):
-        rest = np.flatnonzero(fold != k)
-        if len(rest):
-            wk, bk = train(rest)
-            worst = np.full(total, EMPTY)
-            np.maximum.at(worst, bags.text, bags.scores(wk, bk)[bags.passage])
-            level = np.sort(worst[n:])
-            mine = np.flatnonzero(fold == k)
-            # Above all unlabelled texts the share is known no better than to one text of them.
-        held[mine] = np.maximum(1 - np.searchsorted(level, worst[mine], side="left") / max(1, len(level)), 1 / max(1, len(level)))
+        rest, mine = trainer.with_passages(np.flatnonzero(fold != k)), np.flatnonzero(fold == k)
+        if len(rest) and len(mine):
+            worst = trainer.text_scores(trainer.train(rest, prior, rounds))
+            held[mine] = _ranks(worst[mine], worst[n:])
+    every = trainer.with_passages(np.arange(n))
+    if not len(every):
+        return Classifier(np.zeros(1 << BITS), EMPTY), np.zeros(0)
+    w, b = trainer.train(every, min(0.5, share_to_flag(held)), rounds)
     return Classifier(w, b), held
 
 
 def threshold(held: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> float:
-    """The cut. The share to flag maximises recall^2 / share, with the recall of the
-    left-out confirmed texts at that share (held, see fit). Among the edges of the
-    histogram of all scores that flag about this share the one is taken below which
-    the scores crowd most: the top of the next lump of ordinary documents."""
+    """The cut in the histogram of all scores: about share_to_flag of the texts score
+    above it, and within a quarter of that share it is the sparsest place, if one is
+    sparse. Without a text that stands out nothing is flagged."""
     if not len(held) or not len(edges):
         return np.inf
-    shares = np.unique(held[held < 0.5])
-    if not len(shares):
+    share = share_to_flag(held)
+    if share >= 0.5:
         return np.inf
-    recall = np.array([(held <= q).mean() for q in shares])
-    floor = 1 / max(1.0, counts.sum())
-    best = max(floor, shares[np.argmax(recall**2 / np.maximum(shares, floor))])
     order = np.argsort(-edges)
     edge, flagged = edges[order], np.cumsum(counts[order]) / counts.sum()
-    near = np.flatnonzero((flagged >= 0.93 * best) & (flagged <= 1.07 * best))
-    if not len(near):
-        near = np.array([np.argmin(np.abs(flagged - best))])
-    drop = np.array([counts[(edges < edge[i]) & (edges >= edge[i] - 0.25)].sum() - counts[(edges >= edge[i]) & (edges < edge[i] + 0.25)].sum() for i in near])
-    return float(edge[near[np.lexsort((np.abs(flagged[near] - best), -drop))[0]]])
+    near = np.flatnonzero((flagged >= 0.75 * share) & (flagged <= 1.25 * share))
+    at = int(np.argmin(np.abs(flagged - share)))
+    if len(near):
+        around = np.array([counts[np.abs(edges - edge[i]) < 0.5].sum() for i in near])
+        if around.min() < 0.1 * counts.sum() * share:
+            level = np.median(edge[near[around <= 1.25 * around.min()]])
+            at = int(near[np.argmin(np.abs(edge[near] - level))])
+    return float(edge[at])
 
 
-def scores(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "abusive", max_confirmed: int = MAX_CONFIRMED, max_unlabelled: int = MAX_UNLABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
+def scores(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "abusive", max_confirmed: int = MAX_CONFIRMED, max_unlabelled: int = MAX_UNLABELLED, max_single: int = MAX_SINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of keep, score (log-odds of the worst passage), flagged.
 
     A document is confirmed if more than half of its non-null labels are 1. A null
@@ -304,11 +393,12 @@ def scores(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     tmp = Scratch(documents.sparkSession, "toxicity")
     votes = labels.select(*[c for c in labels.columns if c in (key, label, "rater", "labelled_at")]).distinct().where(F.col(label).isNotNull()).groupBy(key).agg(F.avg(label).alias("mean_")).where("mean_ > 0.5").select(key)
     few = F.xxhash64(key)
-    confirmed = documents.select(key, text).join(votes, key, "left_semi").dropna().orderBy(few, key).limit(max_confirmed)
+    confirmed = documents.select(key, text).join(votes, key, "left_semi").dropna().dropDuplicates([key]).orderBy(few, key).limit(max_confirmed)
     n = documents.count()
-    share = max(1, n // max_unlabelled)
-    others = documents.select(key, text).where(F.pmod(F.xxhash64(key, F.lit(9)), F.lit(share)) == 0).dropna().limit(2 * max_unlabelled)
-    model, held = fit([r[text] for r in confirmed.collect()], [r[text] for r in others.collect()])
+    drawn = F.xxhash64(key, F.lit(9))
+    some = F.pmod(drawn, F.lit(1_000_000)) < int(min(1_000_000, 1_200_000 * max_unlabelled / max(1, n)) + 1)  # so that few rows are sorted
+    others = documents.select(key, text).where(some).dropna().orderBy(drawn, key).limit(max_unlabelled)
+    model, held = fit([r[text] for r in confirmed.collect()], [r[text] for r in others.collect()], max_single=max_single)
     weights = model.weights.astype(np.float32)
     at = np.flatnonzero(weights)
     sparse, bias = (at.astype(np.int32), weights[at]), model.bias

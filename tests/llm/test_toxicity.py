@@ -96,3 +96,23 @@ def test_share_is_no_finer_than_the_sample():
     counts[-20:] = np.r_[np.full(19, 2_500.0), 1.0]
     flagged = counts[edges >= X.threshold(held, edges, counts)].sum()
     assert flagged >= counts.sum() / 400 / 2
+
+
+def test_a_rare_family_of_short_passages_is_found():
+    r = random.Random(8)
+    calm, _ = _corpus(1500, 0.0, 9)
+    foul, _ = _corpus(200, 1.0, 10)
+    rare = [_doc(r, False) + "\nHe wrote: begone, sir" for _ in range(12)]
+    errors, _ = _corpus(60, 0.0, 11)  # readers err
+    model, held = X.fit(foul + rare + errors, calm + foul[:40] + rare[:4])
+    score = model.score([_doc(r, False) + "\nShe cried: begone" for _ in range(20)] + _corpus(300, 0.0, 12)[0], X._Ids())
+    assert np.median(score[:20]) > np.quantile(score[20:], 0.99)
+    assert 0.02 < X.share_to_flag(held) < 0.05
+
+
+def test_few_or_empty_confirmed_texts():
+    calm, _ = _corpus(50, 0.0, 3)
+    for confirmed in (["you filthy moron"], ["..."], ["...", "you filthy moron"], []):
+        model, held = X.fit(confirmed, calm)
+        assert len(held) in (0, len(confirmed)) and np.isfinite(model.score(calm, X._Ids())).all()
+    assert X.threshold(X.fit(["you filthy moron"], ["", "..."])[1], np.array([0.0]), np.array([1.0])) == np.inf
