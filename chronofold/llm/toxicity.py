@@ -392,8 +392,8 @@ def scores(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     score. Without confirmed documents nothing is flagged. Tables may be empty."""
     tmp = Scratch(documents.sparkSession, "toxicity")
     votes = labels.select(*[c for c in labels.columns if c in (key, label, "rater", "labelled_at")]).distinct().where(F.col(label).isNotNull()).groupBy(key).agg(F.avg(label).alias("mean_")).where("mean_ > 0.5").select(key)
-    few = F.xxhash64(key)
-    confirmed = documents.select(key, text).join(votes, key, "left_semi").dropna().dropDuplicates([key]).orderBy(few, key).limit(max_confirmed)
+    votes = F.broadcast(votes.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_confirmed))
+    confirmed = documents.select(key, text).join(votes, key, "left_semi").dropna().dropDuplicates([key]).orderBy(F.xxhash64(key), key)
     n = documents.count()
     drawn = F.xxhash64(key, F.lit(9))
     some = F.pmod(drawn, F.lit(1_000_000)) < int(min(1_000_000, 1_200_000 * max_unlabelled / max(1, n)) + 1)  # so that few rows are sorted
