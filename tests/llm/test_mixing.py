@@ -1,4 +1,7 @@
 import math
+from pathlib import Path
+
+import pandas as pd
 
 import pytest
 from hypothesis import given, settings
@@ -58,3 +61,54 @@ def test_larger_total_takes_all_of_scarce_sources(spark):
 def test_empty(spark):
     rows, rep = _mix(spark, {}, [("big", 1.0, 1)])
     assert rows == [] and rep["big"]["used_tokens"] == 0
+
+
+def _largest_deviation(rows, weight):
+    """Over every prefix and source: tokens from its share. Also checks that positions have no gap."""
+    done, total, most = dict.fromkeys(weight, 0), 0, 0
+    for r in sorted(rows, key=lambda r: r["slot"]):
+        assert r["slot"] == total
+        done[r["source"]] += r["n_tokens"]
+        total += r["n_tokens"]
+        most = max([most, *(abs(done[s] - weight[s] * total) for s in weight)])
+    return most
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 50), st.integers(0, 9)), min_size=1), st.integers(1, 120), st.integers(1, 5))
+def test_frames_keep_every_prefix_within_two_records(sources, longest, n_frames):
+    """Records of very different length, whatever the number of frames; none is lost."""
+    import random
+
+    rows, ends = [], {}
+    quota = {s: w * 60 for s, (w, _) in sources.items()}
+    total = sum(quota.values())
+    weight = {s: q / total for s, q in quota.items()}
+    for s, q in quota.items():
+        r, at = random.Random(sources[s][1]), 0
+        while at < q:
+            n = r.choice([1, r.randint(1, longest), longest])
+            if at + n / 2 <= q:
+                rows.append({"source": s, "start": at, "record_id": f"{s}{at}", "repeat_no": 1, "n_tokens": n})
+            at += n
+    frame = max(total / n_frames, *((longest + 2) / w for w in weight.values()))
+    order, out = mixing._frame_order(weight, frame), []
+    for f in range(int((total + longest) / frame) + 2):
+        touching = [x | {"frame": f} for x in rows if x["start"] + x["n_tokens"] + 1 >= weight[x["source"]] * f * frame and x["start"] - 1 <= weight[x["source"]] * (f + 1) * frame]
+        if touching:
+            out += order(pd.DataFrame(touching)).to_dict("records")
+    assert sorted(x["record_id"] for x in out) == sorted(x["record_id"] for x in rows)
+    # Near the end of the mixture the sources run out, each within half a record of its quota.
+    assert _largest_deviation([x for x in out if x["slot"] + x["n_tokens"] <= total - longest * len(weight)], weight) < 2 * longest
+
+
+def test_real_texts_stay_within_a_block(spark):
+    from chronofold.llm import entries, tokens
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(tokens.VOCABULARY).exists() or not Path(folder).exists():
+        pytest.skip("no vocabulary or data")
+    mixture, report = mixing.mix(entries._sizes(spark, folder), entries.table(spark, folder, "source_targets"), frame_records=100)
+    rows, used = mixture.collect(), {r["source"]: r["target_share"] for r in report.collect() if r["used_tokens"]}
+    weight = {s: w / sum(used.values()) for s, w in used.items()}
+    assert _largest_deviation(rows, weight) < max(mixing.LEAST_BLOCK, 2 * max(r["n_tokens"] for r in rows))
