@@ -15,6 +15,8 @@ few containers short. Largest-that-fits is one lookup in a union-find over sizes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-SHARD_ITEMS = 50_000
+SHARD_ITEMS = 25_000
+MAX_TARGETS = 1_000
 STEP_CONTAINERS = 8
 #: A shorter container that would leave more than this share unused gives its items up to the longest tier.
 WASTE = 0.02
@@ -93,6 +96,19 @@ def pack(sizes: list[int], capacities: list[int], waste: float = WASTE) -> list[
     return out
 
 
+def combine(made: list[tuple[int, list[tuple[int, int, int, int]]]], capacity: int) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """The containers of all tiers, packed whole into containers of one capacity."""
+    fills = [sum(p[3] for p in inside) for _, inside in made]
+    index, out = SizeIndex(np.array(fills, np.int64)), []
+    while (first := index.take(capacity)) is not None:
+        inside, room = list(made[first][1]), capacity - fills[first]
+        while room and (more := index.take(room)) is not None:
+            inside += made[more][1]
+            room -= fills[more]
+        out.append((capacity, inside))
+    return out
+
+
 def step_groups(fills: list[int], per_step: int) -> list[int]:
     """A group for each container: fullest first, dealt back and forth."""
     groups = -(-len(fills) // per_step)
@@ -107,22 +123,28 @@ def assign(items: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: s
     """SCHEMA: a row for each placed part of an item.
 
     tiered: the targets are tiers and each item is placed once; else every target
-    gets a packing of all items of its own. A null key or size and a size under 1
-    are left out; a repeated key counts once, with its largest size. An empty table
-    of items or targets gives an empty result; targets are a small table."""
-    tiers = sorted((r["capacity_tokens"], r["pack_name"]) for r in targets.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().limit(1000).collect())
+    gets a packing of all items of its own, through the tiers up to it, whose
+    containers are then packed whole into its own. A null key or size and a size under
+    1 are left out; a repeated key counts once, with its largest size. An empty table
+    of items or targets gives an empty result; more than MAX_TARGETS targets are an
+    error."""
+    found = targets.where("capacity_tokens > 0 and pack_name is not null").select("pack_name", "capacity_tokens").distinct().limit(MAX_TARGETS + 1).collect()
+    if len(found) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    tiers = sorted((r["capacity_tokens"], r["pack_name"]) for r in found)
     clean = items.select(F.col(key).cast("string").alias("item_id"), F.col(size).cast("long").alias("n")).where("item_id is not null and n > 0").groupBy("item_id").agg(F.max("n").alias("n"))
     clean = Scratch(items.sparkSession, "packing").save(clean)  # sizes are counted once
     shards = max(1, -(-clean.count() // shard_items))
-    ways = [tiers] if tiered else [[t] for t in tiers]
+    # Each way: the tiers to route by, and the target that takes all of them, if it is one.
+    ways = [(tiers, None)] if tiered else [([x for x in tiers if x[0] <= t[0]], t) for t in tiers]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id")
-        ids, sizes, shard = pdf["item_id"].tolist(), pdf["n"].tolist(), int(pdf["shard"].iloc[0])
+    def placed(shard: int, ids: list[str], sizes: list[int]) -> pd.DataFrame:
         rows = []
-        for way in ways if tiers else []:
-            name = dict(reversed(way))
+        for way, target in ways if tiers else []:
             made = pack(sizes, [c for c, _ in way])
+            name = dict(reversed(way))
+            if target:
+                made, name = combine(made, target[0]), {target[0]: target[1]}
             for cap in sorted({c for c, _ in made}):
                 own = [inside for c, inside in made if c == cap]
                 groups = step_groups([sum(p[3] for p in inside) for inside in own], step_containers)
@@ -133,7 +155,14 @@ def assign(items: DataFrame, targets: DataFrame, *, key: str = "doc_id", size: s
                         offset += length
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return clean.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, SCHEMA)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition is one shard."""
+        whole = [f for f in frames if len(f)]
+        if whole:
+            pdf = pd.concat(whole).sort_values("item_id")
+            yield placed(int(pdf["shard"].iloc[0]), pdf["item_id"].tolist(), pdf["n"].tolist())
+
+    return clean.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard")).mapInPandas(run, SCHEMA)
 
 
 def report(assigned: DataFrame) -> DataFrame:

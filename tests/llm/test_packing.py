@@ -72,3 +72,33 @@ def test_first_query_packs_in_tiers(spark, monkeypatch):
     out = entries.queries()[name](spark, "")
     assert out.count() == 4 and {r[0] for r in out.where("item_id in ('d0', 'd1')").select("container_id").collect()} == {"l-0-0"}
     assert entries.p6_tiers_report(spark, "").count() == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=60))
+def test_combine_keeps_every_part_in_one_container(sizes):
+    made = packing.pack(sizes, [16, 64, 256])
+    whole = packing.combine(made, 256)
+    assert sorted(p for _, inside in whole for p in inside) == sorted(p for _, inside in made for p in inside)
+    assert all(c == 256 and 0 < sum(p[3] for p in inside) <= 256 for c, inside in whole)
+
+
+def test_every_capacity_is_packed_tightly_and_evenly():
+    import random
+
+    r = random.Random(2)
+    sizes = [r.randint(20, 3000) for _ in range(3000)]
+    for tiers in ([512], [512, 2048], [512, 2048, 8192]):
+        whole = packing.combine(packing.pack(sizes, tiers), tiers[-1])
+        fills = [sum(p[3] for p in inside) for _, inside in whole]
+        assert sum(fills) == sum(sizes) and sum(fills) >= 0.99 * tiers[-1] * len(whole)
+        groups = packing.step_groups(fills, 8)
+        steps = [sum(f for f, g in zip(fills, groups) if g == k) / groups.count(k) for k in set(groups)]
+        assert max(steps) - min(steps) <= tiers[-1] / 8  # one group holds the last container, which may be nearly empty
+
+
+def test_too_many_targets_are_an_error(spark):
+    items = spark.createDataFrame([("a", 1)], "doc_id string, n_tokens bigint")
+    targets = spark.range(packing.MAX_TARGETS + 1).selectExpr("concat('t', id) as pack_name", "id + 1 as capacity_tokens")
+    with pytest.raises(ValueError):
+        packing.assign(items, targets)
