@@ -131,7 +131,7 @@ def features(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     two[1:] = ((h[:-1] * np.uint64(31) + h[1:] + np.uint64(7)) * _MULT) >> shift
     skip = np.zeros(n, np.uint64)
     skip[2:] = ((h[:-2] * np.uint64(131) + h[2:] + np.uint64(77)) * _MULT) >> shift
-    f = np.stack([one, two, skip], axis=1).astype(np.int64)
+    f = np.stack([one, two, skip], axis=1).astype(np.int32)
     mask = np.stack([np.ones(n, bool), place >= 1, place >= 2], axis=1)
     count = length + np.maximum(length - 1, 0) + np.maximum(length - 2, 0)
     return f, mask, length, 1 / np.sqrt(np.maximum(count, 1))
@@ -160,23 +160,26 @@ class _Bags:
     """Distinct passages of a set of texts with their features, and which texts hold them."""
 
     def __init__(self, texts: list[str]):
-        h, first, owner = passages(texts, _Ids())
-        f, mask, length, value = features(h, first)
-        place = np.arange(len(h)) - np.repeat(first, length)
-        print_ = np.add.reduceat((h + np.uint64(1)) * (_MULT * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))), first) if len(h) else h
-        _, at, self.passage = np.unique(print_, return_index=True, return_inverse=True)
-        self.text = owner
-        pairs = np.unique(self.text.astype(np.int64) * max(1, len(at)) + self.passage)
-        self.text, self.passage = pairs // max(1, len(at)), pairs % max(1, len(at))
-        self.df = np.bincount(self.passage, minlength=len(at)).astype(float)
-        rows = [np.arange(first[i], first[i] + length[i]) for i in at]
-        take = np.concatenate(rows) if rows else np.zeros(0, int)
-        seg = np.repeat(np.arange(len(at)), length[at] if len(at) else [])
-        m = mask[take]
-        self.feature = f[take][m]
-        self.seg = np.repeat(seg[:, None], 3, axis=1)[m]
-        self.value = value[at] if len(at) else value
+        ids, parts, lengths, prints, owners = _Ids(), [], [], [], []
+        for low in range(0, len(texts), 500):
+            h, first, owner = passages(texts[low : low + 500], ids)
+            if len(h):
+                length = np.diff(np.r_[first, len(h)])
+                place = np.arange(len(h)) - np.repeat(first, length)
+                prints.append(np.add.reduceat((h + np.uint64(1)) * (_MULT * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))), first))
+                parts.append(h), lengths.append(length), owners.append(owner + low)
+        none = np.zeros(0, np.int64)
+        h, length, owner = (np.concatenate(x) if x else none for x in (parts, lengths, owners))
+        _, at, passage = np.unique(np.concatenate(prints) if prints else none, return_index=True, return_inverse=True)
         self.n = len(at)
+        pairs = np.unique(owner * max(1, self.n) + passage)
+        self.text, self.passage = pairs // max(1, self.n), pairs % max(1, self.n)
+        start = np.cumsum(length) - length
+        length = length[at]
+        take = np.repeat(start[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        f, mask, _, self.value = features(h[take].astype(np.uint64), np.cumsum(length) - length)
+        self.feature = f[mask]
+        self.seg = np.repeat(np.repeat(np.arange(self.n, dtype=np.int32), length)[:, None], 3, axis=1)[mask]
 
     def scores(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.seg, weights=w[self.feature], minlength=self.n) * self.value + b
@@ -192,8 +195,11 @@ def nnpu(bags: _Bags, p: np.ndarray, u: np.ndarray, u_weight: np.ndarray, prior:
     live = np.zeros(bags.n, bool)
     live[p] = live[u] = True
     mine = live[bags.seg]
-    used, feature = np.unique(bags.feature[mine], return_inverse=True)
-    seg, value = bags.seg[mine], bags.value
+    feature, seg, value = bags.feature[mine], bags.seg[mine], bags.value
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    feature = place[feature]
     wu = u_weight / u_weight.sum()
     wp = np.bincount(p, minlength=bags.n) / len(p)
     wu = np.bincount(u, weights=wu, minlength=bags.n)
@@ -257,12 +263,18 @@ class _Trainer:
         kept = self.rng.permutation(single)[:max_single]
         self.u, self.u_weight = np.concatenate([u, kept]), np.concatenate([df_u[u].astype(float), np.full(len(kept), len(single) / max(1, len(kept)))])
         self.per_text = max(1.0, df_u.sum() / max(1, m))
-        # (text, feature), each once
+        # (text, feature), each once, for a thousand texts at a time
         starts = np.searchsorted(bags.seg, np.arange(bags.n + 1))
-        count = np.diff(starts)[bags.passage]
-        at = np.repeat(starts[:-1][bags.passage] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        pair = np.unique((np.repeat(bags.text, count) << BITS) + bags.feature[at])
-        self.pair_text, self.pair_feature = pair >> BITS, pair & ((1 << BITS) - 1)
+        texts, features_ = [], []
+        for low in range(0, n + m, 1000):
+            a, z = np.searchsorted(bags.text, [low, low + 1000])
+            passage = bags.passage[a:z]
+            count = np.diff(starts)[passage]
+            at = np.repeat(starts[:-1][passage] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            pair = np.unique((np.repeat(bags.text[a:z] - low, count) << BITS) + bags.feature[at])
+            texts.append((low + (pair >> BITS)).astype(np.int32))
+            features_.append((pair & ((1 << BITS) - 1)).astype(np.int32))
+        self.pair_text, self.pair_feature = np.concatenate(texts), np.concatenate(features_)
         self.starts = starts[:-1]
 
     def _best(self, score: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
