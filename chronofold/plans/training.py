@@ -24,7 +24,10 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_later_replacements(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.supersession(table(spark, d, "assertions")).descendants().select(F.col("group_id").alias("tenant_id"), F.col("ancestor_id").alias("assertion_id"), F.col("descendant_id").alias("replacement_id"))
+    """The later replacements of an assertion are those of its tenant and root whose
+    place lies after its own, up to last_place; Hierarchy.descendants gives them as pairs."""
+    rows = hierarchy.supersession(table(spark, d, "assertions"), linked_only=False).intervals()
+    return rows.select(F.col("group_id").alias("tenant_id"), F.col("node_id").alias("assertion_id"), F.col("root_id").alias("root_assertion_id"), "place", "last_place")
 
 
 def p3_subtrees(spark: SparkSession, d: str) -> DataFrame:
@@ -118,17 +121,20 @@ WHERE a.status NOT IN ('quarantined', 'deleted')
 SELECT w.assertion_id, w.root AS root_assertion_id, w.depth FROM w JOIN k ON k.tenant_id = w.tenant_id AND k.assertion_id = w.assertion_id WHERE k.named
 UNION ALL SELECT assertion_id, root, CAST(-1 AS BIGINT) FROM low""",
     "p3_paths": _TREE + """
-SELECT w.tenant_id, w.assertion_id, w.path FROM w JOIN k ON k.tenant_id = w.tenant_id AND k.assertion_id = w.assertion_id
-WHERE k.named OR EXISTS (SELECT 1 FROM k c WHERE c.tenant_id = w.tenant_id AND c.up = w.assertion_id)""",
+SELECT tenant_id, assertion_id, path FROM w""",
     "p3_later_replacements": _TREE + """,
-     d AS (SELECT tenant_id, up AS assertion_id, assertion_id AS replacement_id FROM k WHERE up IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stray s WHERE s.tenant_id = k.tenant_id AND s.assertion_id = k.assertion_id)
+     d AS (SELECT tenant_id, assertion_id, assertion_id AS below FROM w UNION ALL SELECT d.tenant_id, d.assertion_id, k.assertion_id FROM d JOIN k ON k.tenant_id = d.tenant_id AND k.up = d.below),
+     z AS (SELECT tenant_id, assertion_id, count(*) AS n FROM d GROUP BY ALL),
+     c AS (SELECT k.tenant_id, k.assertion_id, k.up, z.n, row_number() OVER (PARTITION BY k.tenant_id, k.up ORDER BY z.n DESC, k.assertion_id DESC) > 1 AS later
+           FROM k JOIN z ON z.tenant_id = k.tenant_id AND z.assertion_id = k.assertion_id WHERE k.up IS NOT NULL),
+     o AS (SELECT *, 1 + coalesce(sum(n) OVER (PARTITION BY tenant_id, up ORDER BY later, assertion_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip FROM c),
+     p AS (SELECT tenant_id, assertion_id, assertion_id AS root, CAST(0 AS BIGINT) AS place FROM k WHERE up IS NULL
            UNION ALL
-           SELECT d.tenant_id, d.assertion_id, k.assertion_id FROM d JOIN k ON k.tenant_id = d.tenant_id AND k.up = d.replacement_id)
-SELECT tenant_id, assertion_id, replacement_id FROM d""",
+           SELECT o.tenant_id, o.assertion_id, p.root, CAST(p.place + o.skip AS BIGINT) FROM p JOIN o ON o.tenant_id = p.tenant_id AND o.up = p.assertion_id)
+SELECT p.tenant_id, p.assertion_id, p.root AS root_assertion_id, p.place, CAST(p.place + z.n - 1 AS BIGINT) AS last_place FROM p JOIN z ON z.tenant_id = p.tenant_id AND z.assertion_id = p.assertion_id""",
     "p3_subtrees": _TREE + """,
      d AS (SELECT tenant_id, assertion_id, assertion_id AS below FROM w UNION ALL SELECT d.tenant_id, d.assertion_id, k.assertion_id FROM d JOIN k ON k.tenant_id = d.tenant_id AND k.up = d.below)
-SELECT d.tenant_id, d.assertion_id, count(*) AS subtree_size FROM d JOIN k ON k.tenant_id = d.tenant_id AND k.assertion_id = d.assertion_id
-GROUP BY d.tenant_id, d.assertion_id, k.named HAVING k.named OR count(*) > 1""",
+SELECT tenant_id, assertion_id, count(*) AS subtree_size FROM d GROUP BY tenant_id, assertion_id""",
     "p3_cycles": _TREE + """
 SELECT l.tenant_id, l.root AS cycle_id, count(r.assertion_id) AS n_on_cycle, count(*) - count(r.assertion_id) AS n_leading_to_it
 FROM low l LEFT JOIN ring r ON r.tenant_id = l.tenant_id AND r.assertion_id = l.assertion_id GROUP BY l.tenant_id, l.root""",
