@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FOREVER, us, visible
+from .common import FOREVER, bisect, quantile_cuts, us, visible
 
 ROWS_PER_TASK = 200_000
 
@@ -24,19 +24,16 @@ def _sorted_starts(df: DataFrame, keys: list[str], start: str, end: str, rows_pe
     """keys, start_us, end_us, n_ (rows that it stands for), reach (largest end before,
     null at the first start, all as micros), block_."""
     rows = df.select(*keys, us(start).alias("start_us"), F.coalesce(us(end), F.lit(FOREVER)).alias("end_us")).dropna(subset=[*keys, "start_us"]).where("end_us > start_us").withColumn("n_", F.lit(1).cast("long"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > rows_per_task)
-    parts = F.ceil(F.max("n_") / rows_per_task).cast("int")
-    widest = counts.agg(parts.alias("p")).first()["p"]
-    if widest is None:
+    cuts, most = quantile_cuts(rows, keys, "start_us", rows_per_task, "cuts_")
+    if cuts is None:
         rows = rows.withColumn("block_", F.lit(0))
     else:
-        cuts = rows.drop("n_").join(counts, keys).groupBy(*keys).agg(F.percentile_approx("start_us", [i / widest for i in range(1, widest)], 10 * widest).alias("cuts_"))
-        cold = rows.join(counts.select(*keys), keys, "left_anti").withColumn("block_", F.lit(0))
-        hot = rows.groupBy(*keys, "start_us").agg(F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n_")).join(cuts, keys).withColumn("block_", F.size(F.filter("cuts_", lambda c: c <= F.col("start_us")))).drop("cuts_")
-        rows = cold.unionByName(hot)
+        cold = rows.join(cuts.select(*keys), keys, "left_anti").withColumn("block_", F.lit(0))
+        hot = rows.join(cuts.select(*keys), keys, "left_semi").groupBy(*keys, "start_us").agg(F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n_"))
+        rows = cold.unionByName(hot.join(cuts, keys).withColumn("block_", bisect("cuts_", "start_us", most)).drop("cuts_"))
     inside = Window.partitionBy(*keys, "block_").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("reach", F.max("end_us").over(inside))
-    if widest is not None:
+    if cuts is not None:
         before = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
         ends = rows.groupBy(*keys, "block_").agg(F.max("end_us").alias("e_")).select(*keys, "block_", F.max("e_").over(before).alias("carry_")).where("carry_ is not null")
         rows = rows.join(ends, [*keys, "block_"], "left").withColumn("reach", F.greatest("reach", "carry_")).drop("carry_")

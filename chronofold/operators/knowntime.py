@@ -7,10 +7,16 @@ built by path copying: one root per recorded time, leaves in order of
 valid_from, every inner node holding the largest valid_to below it. An event
 picks its root by known time and then searches the valid-time key.
 
-Work is O((facts + events) log facts + matches). Facts of a hot key are split
-by a hash of their id and its events go to every split; many events of a key
-are split in turn and its facts copied, so no task holds an unbounded group:
+Work is O((facts + events) log facts + matches). Events of a hot key are cut into
+slabs at quantiles of their time. With one time for both axes a fact goes to the slabs
+that it meets: to two in part, and to those between in whole, where it matches every
+event, so that copies of facts are bounded by facts and matches. Facts of a slab beyond
+a task's share are split by a hash of their id, and the slab's events, no more than a
+task's share, go to each part. So no hot key has its facts and events multiplied, and
 events stream past the tree and are never collected.
+
+With a valid time apart from the known time, slabs are cut by known time, and a fact
+that stays recorded goes to all later slabs of its key.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOREVER, hot_splits, us, visible, with_splits
+from .common import FOREVER, bisect, hot_splits, quantile_cuts, us, visible, with_splits
 
 _NEVER = -(2**63)
 
@@ -97,9 +103,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, facts, tree, last = None, [], None, None
     events, found = [], []
     for b in batches:
-        for k1, k2, k3, part, split, is_event, rid, a, z, sa, sz in zip(*(c.to_pylist() for c in b.columns)):
-            if key != (k1, k2, k3, part, split):
-                key, facts, tree, last = (k1, k2, k3, part, split), [], None, None
+        for k1, k2, k3, slab, part, split, is_event, rid, a, z, sa, sz in zip(*(c.to_pylist() for c in b.columns)):
+            if key != (k1, k2, k3, slab, part, split):
+                key, facts, tree, last = (k1, k2, k3, slab, part, split), [], None, None
             if not is_event:
                 facts.append((rid, a, z, sa, sz))
                 continue
@@ -118,6 +124,33 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(events), pa.array(found)], names=["event_id", "fact_id"])
 
 
+def _together(f: DataFrame, e: DataFrame, k: list[str], one: bool, facts_per_task: int, events_per_task: int) -> tuple[DataFrame, list[str]]:
+    """Facts and events side by side, and the columns of the groups that meet in a task."""
+    cuts, most = quantile_cuts(e, k, "sa_", events_per_task, "cuts_")
+    if cuts is None:
+        f, e = f.withColumn("slab_", F.lit(0)), e.withColumn("slab_", F.lit(0))
+    else:
+        slab = lambda t: F.coalesce(bisect("cuts_", t, most), F.lit(0))
+        from_, to = (F.greatest("a_", "sa_"), F.least("z_", "sz_")) if one else (F.col("sa_"), F.col("sz_"))
+        f = f.join(cuts, k, "left").withColumn("slab_", F.explode(F.sequence(slab(from_), slab(to - 1)))).drop("cuts_")
+        e = e.join(cuts, k, "left").withColumn("slab_", slab(F.col("sa_"))).drop("cuts_")
+    at = [*k, "slab_"]
+    hot_f = hot_splits(f, at, facts_per_task, "parts_")
+    hot_e = hot_splits(e, at, 2 * events_per_task, "splits_") if cuts is not None else None  # many events at one time
+
+    def spread(df: DataFrame) -> DataFrame:
+        return with_splits(with_splits(df, hot_f, at, "parts_"), hot_e, at, "splits_")
+
+    share = lambda n: F.pmod(F.xxhash64("id_"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = [*at, "part_", "split_"]
+    cols = [*group, "is_event_", "id_", "a_", "z_", "sa_", "sz_"]
+    f = spread(f).withColumn("part_", share("parts_")).withColumn("split_", every("splits_") if hot_e is not None else F.lit(0))
+    e = spread(e).withColumn("part_", every("parts_") if hot_f is not None else F.lit(0)).withColumn("split_", share("splits_"))
+    both = f.withColumn("is_event_", F.lit(False)).select(cols).unionByName(e.withColumns({"is_event_": F.lit(True), "z_": F.lit(0).cast("long"), "sz_": F.lit(0).cast("long")}).select(cols))
+    return both, group
+
+
 def known_at(
     events: DataFrame,
     facts: DataFrame,
@@ -129,15 +162,15 @@ def known_at(
     fact_id: str = "assertion_id",
     fact_keys: tuple[str, str, str] = ("tenant_id", "subject_entity_id", "predicate"),
     facts_per_task: int = 50_000,
-    events_per_task: int = 200_000,
+    events_per_task: int = 100_000,
 ) -> DataFrame:
     """(event_id, fact_id): distinct pairs where the fact has the event's keys,
     valid_from <= valid time < valid_to and system_from <= known time < system_to.
 
     A null valid_to or system_to is open; a null start, id, key or event time
     matches nothing; an interval that is not positive matches nothing. Repeated
-    rows count once; an event id with several times is searched at each. Tables may be empty and may have any further columns; only
-    the named ones are read."""
+    rows count once; an event id with several times is searched at each. Tables may be
+    empty and may have any further columns; only the named ones are read."""
     one = valid_time is None
     k = ["k1_", "k2_", "k3_"]
     end = lambda c: F.coalesce(us(c), F.lit(FOREVER))
@@ -146,18 +179,7 @@ def known_at(
     if one:  # both axes are searched at one instant, so the intervals must meet
         f = f.where(F.greatest("a_", "sa_") < F.least("z_", "sz_"))
     e = events.select(*(F.col(c).alias(n) for c, n in zip(event_keys, k)), F.col(event_id).cast("string").alias("id_"), us(valid_time or known_time).alias("a_"), us(known_time).alias("sa_")).dropna()
-    hot_f, hot_e = hot_splits(f, k, facts_per_task, "parts_"), hot_splits(e, k, events_per_task, "splits_")
-
-    def spread(df: DataFrame) -> DataFrame:
-        return with_splits(with_splits(df, hot_f, k, "parts_"), hot_e, k, "splits_")
-
-    share = lambda n: F.pmod(F.xxhash64("id_"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = [*k, "part_", "split_", "is_event_", "id_", "a_", "z_", "sa_", "sz_"]
-    f = spread(f).withColumn("part_", share("parts_")).withColumn("split_", every("splits_") if hot_e is not None else F.lit(0))
-    e = spread(e).withColumn("part_", every("parts_") if hot_f is not None else F.lit(0)).withColumn("split_", share("splits_"))
-    both = f.withColumn("is_event_", F.lit(False)).select(cols).unionByName(e.withColumns({"is_event_": F.lit(True), "z_": F.lit(0).cast("long"), "sz_": F.lit(0).cast("long")}).select(cols))
-    group = [*k, "part_", "split_"]
+    both, group = _together(f, e, k, one, facts_per_task, events_per_task)
     return both.repartition(*group).sortWithinPartitions(*group, "is_event_", "id_", "sa_", "a_").mapInArrow(_search, "event_id string, fact_id string")
 
 

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.operators import intervals
 from chronofold.operators.common import FOREVER
@@ -61,3 +62,18 @@ def test_n_intervals_does_not_depend_on_the_size(spark):
     want = {("hot", 1): 20, ("hot", 2): 3, ("x", 1): 2}
     for cap in (200_000, 6):
         assert {(r["key"], r["period_no"]): r["n_intervals"] for r in intervals.periods(df, ["key"], "a", "z", cap).collect()} == want
+
+
+def test_bisect_and_cuts(spark):
+    from chronofold.operators.common import bisect, quantile_cuts
+
+    cuts = [1, 3, 3, 7, 9]
+    df = spark.range(12).withColumn("cuts", F.array(*(F.lit(c) for c in cuts)).cast("array<long>"))
+    assert [r[0] for r in df.select(bisect("cuts", "id", 5)).collect()] == [sum(c <= i for c in cuts) for i in range(12)]
+    assert spark.range(1).select(bisect(F.array().cast("array<long>"), "id", 5)).first()[0] == 0
+    points = spark.range(1000).select(F.when(F.col("id") < 900, "big").when(F.col("id") < 970, "mid").otherwise("cold").alias("k"), "id")
+    table, most = quantile_cuts(points, ["k"], "id", 50, "c")
+    got = {r["k"]: r["c"] for r in table.collect()}
+    assert most == 18 and set(got) == {"big", "mid"} and len(got["big"]) == 17 and len(got["mid"]) == 1
+    assert max(b - a for a, b in zip([0, *got["big"]], [*got["big"], 900])) <= 60
+    assert quantile_cuts(points, ["k"], "id", 5000, "c") == (None, 0)

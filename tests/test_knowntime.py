@@ -90,3 +90,32 @@ def test_named_in_request(spark):
     df = spark.createDataFrame(rows, "request_json string, s string, p string")
     s, p = knowntime.named_in_request()
     assert df.select(s.eqNullSafe(F.col("s")) & p.eqNullSafe(F.col("p"))).distinct().collect() == [(True,)]
+
+
+def test_a_hot_key_on_both_sides_is_not_multiplied(spark, monkeypatch):
+    n, hours = 2000, 5000
+    r = random.Random(4)
+    facts = [("t", "a", "p", f"f{i}", at(h), at(h + r.randint(1, 4)), at(h), None, "x", 1) for i, h in enumerate(r.randrange(hours) for _ in range(n))]
+    events = [(f"e{i}", "t", "a", "p", at(r.randrange(hours)), None, None) for i in range(n)]
+    seen = []
+    whole = knowntime._together
+
+    def counted(*a):
+        both, group = whole(*a)
+        seen.append((both.count(), both.groupBy(*group).count().agg(F.max("count")).first()[0]))
+        return both, group
+
+    monkeypatch.setattr(knowntime, "_together", counted)
+    f, e = spark.createDataFrame(facts, FACTS), spark.createDataFrame(events, EVENTS)
+    got = [tuple(x) for x in knowntime.known_at(e, f, facts_per_task=50, events_per_task=50).collect()]
+    assert set(got) == _brute(facts, events, False) and len(got) == len(set(got))
+    rows, largest = seen[0]
+    assert rows < 3 * 2 * n and largest < 4 * 50  # by hash on both sides it was 2 * n * n / 50 = 160,000
+
+
+def test_many_events_at_one_time_are_split(spark):
+    facts = [("t", "a", "p", f"f{i}", at(i % 3), None, at(0), None, "x", 1) for i in range(30)]
+    events = [(f"e{i}", "t", "a", "p", at(2), None, None) for i in range(200)] + [(f"l{i}", "t", "a", "p", at(i), None, None) for i in range(40)]
+    f, e = spark.createDataFrame(facts, FACTS), spark.createDataFrame(events, EVENTS)
+    got = [tuple(x) for x in knowntime.known_at(e, f, facts_per_task=10, events_per_task=20).collect()]
+    assert set(got) == _brute(facts, events, False) and len(got) == len(set(got))
