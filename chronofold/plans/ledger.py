@@ -45,7 +45,7 @@ def _searched(spark: SparkSession, d: str) -> DataFrame:
 _T = f"TIMESTAMPTZ '{AT}+00'"
 _NOW = f"""
 WITH now AS (
-  SELECT DISTINCT tenant_id, assertion_id, subject_entity_id, predicate, perspective, kind, object_key, object_json, object_entity_id, authority, system_from
+  SELECT DISTINCT tenant_id, assertion_id, subject_entity_id, predicate, perspective, kind, object_key, object_json, object_entity_id, authority, system_from, source_artifact_id
   FROM assertions WHERE status NOT IN ('quarantined', 'deleted')
     AND valid_from <= {_T} AND (valid_to IS NULL OR valid_to > {_T}) AND system_from <= {_T} AND (system_to IS NULL OR system_to > {_T}))
 """
@@ -183,7 +183,7 @@ def canonical_object_key(spark, d):
 
 
 _TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: length(t) > 1)"
-_TEXT = "concat_ws(' ', subject_entity_id, replace(predicate, '_', ' '), concat_ws(' ', coalesce(json_extract_string(object_json, '$.value'), json_extract_string(object_json, '$.entityId')), json_extract_string(object_json, '$.unit')), replace(kind, '_', ' '), perspective)"
+_TEXT = "concat_ws(' ', subject_entity_id, replace(predicate, '_', ' '), concat_ws(' ', coalesce(json_extract_string(object_json, '$.value'), json_extract_string(object_json, '$.entityId')), json_extract_string(object_json, '$.unit')), replace(kind, '_', ' '), perspective, source_text)"
 
 
 def _hash_sql(tokens: str) -> str:
@@ -193,7 +193,8 @@ def _hash_sql(tokens: str) -> str:
 
 _QT = "['storage', 'zone', 'ledger']"
 _SCORES = _NOW + f""",
-     u AS (SELECT tenant_id, assertion_id, any_value(subject_entity_id) AS subject_entity_id, any_value(object_entity_id) AS object_entity_id, any_value({_TOKENS.format(_TEXT)}) AS k FROM now GROUP BY tenant_id, assertion_id),
+     src AS (SELECT tenant_id, artifact_id AS source_artifact_id, min(concat_ws(' ', source_identity, substr(content, 1, 4096))) AS source_text FROM artifacts GROUP BY ALL HAVING bool_and(status = 'active')),
+     u AS (SELECT tenant_id, assertion_id, any_value(subject_entity_id) AS subject_entity_id, any_value(object_entity_id) AS object_entity_id, any_value({_TOKENS.format(_TEXT)}) AS k FROM now LEFT JOIN src USING (tenant_id, source_artifact_id) GROUP BY tenant_id, assertion_id),
      q AS (SELECT {_hash_sql(_QT)} AS qv),
      v AS (SELECT u.*, {_hash_sql('k')} AS dv, qv FROM u, q),
      s AS (SELECT *, CASE WHEN len(list_intersect({_QT}, k)) > 0 THEN greatest(len(list_intersect({_QT}, k)) / 3.0, 0.25) ELSE 0.0 END AS lexical,
@@ -214,13 +215,31 @@ def search_feature_hash(spark, d):
 
 
 @query(f"""
-WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, {_R6.format("list_inner_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[]))))")} AS cosine
-FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 20""")
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     p AS (SELECT q.vec_id AS query_id, v.vec_id, {_R6.format("list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e)))")} AS cosine FROM v q, v WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, cosine FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20""")
 def search_vector_topk(spark, d):
-    vectors = table(spark, d, "embeddings")
-    q = vectors.where("vec_id = 0").first()["embedding"]
-    return search.nearest_to(vectors, "vec_id", "embedding", q, 20)
+    """The 20 nearest of every vector whose id is divisible by 20, against all vectors."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest_in_blocks(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 20).withColumnRenamed("vec_id_query", "query_id")
+
+
+_EMBEDDED = _NOW.replace("source_artifact_id\n", "source_artifact_id, search_text, embedding_json\n") + f""",
+     r AS (SELECT tenant_id, assertion_id, any_value(search_text) AS t, min(embedding_json) AS j FROM now GROUP BY ALL),
+     e AS (SELECT *, {_TOKENS.format('t')} AS k, TRY_CAST(j AS DOUBLE[]) AS rv, list_transform(TRY_CAST(j AS DOUBLE[]), lambda x: CASE WHEN isfinite(x) THEN x ELSE 0 END) AS lv, CASE WHEN len(lv) = 64 THEN lv ELSE list_transform(range(64), lambda i: CAST(0 AS DOUBLE)) END AS ev, {_hash_sql("['storage', 'ledger']")} AS qv FROM r),
+     f AS (SELECT tenant_id, assertion_id, len(list_intersect(['storage', 'ledger'], k)) / 2.0 AS lexical,
+             CASE WHEN len(list_filter(rv, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(ev, ev) > 0 THEN list_inner_product(ev, qv) / (sqrt(list_inner_product(ev, ev)) * sqrt(list_inner_product(qv, qv))) END AS cosine FROM e)
+"""
+
+
+@query(_EMBEDDED + f""",
+     c AS (SELECT * FROM (SELECT * FROM f WHERE cosine IS NOT NULL ORDER BY {_R6.format('cosine')} DESC, assertion_id LIMIT 200)
+           UNION SELECT * FROM (SELECT * FROM f WHERE lexical = 1 ORDER BY assertion_id LIMIT 200)),
+     z AS (SELECT tenant_id, assertion_id, {_R6.format('lexical')} AS lexical, {_R6.format('greatest(coalesce(cosine, 0.0), 0.0)')} AS vector, {_R6.format('0.45 * lexical + 0.55 * greatest(coalesce(cosine, 0.0), 0.0)')} AS score FROM c)
+SELECT * FROM z WHERE lexical > 0 OR vector > 0 ORDER BY score DESC, assertion_id LIMIT 20""")
+def search_two_branches(spark, d):
+    """Candidates by vector and by all words, reranked together."""
+    return search.two_branches(_current(spark, d), ["storage", "ledger"], S.hash_vector(["storage", "ledger"]))
 
 
 @query(_SCORES + f"SELECT tenant_id, assertion_id, {_R6.format('lexical')} AS lexical, {_R6.format('vector')} AS vector, CAST(NULL AS INTEGER) AS distance, {_R6.format('0.45 * lexical + 0.55 * vector')} AS score FROM s WHERE {_R6.format('lexical')} > 0 OR {_R6.format('vector')} > 0 ORDER BY score DESC, assertion_id LIMIT 20")
@@ -229,7 +248,7 @@ def search_hybrid(spark, d):
 
 
 _REACH = """,
-     vis AS (SELECT tenant_id, subject_entity_id, object_entity_id FROM assertions WHERE status NOT IN ('quarantined', 'deleted')),
+     vis AS (SELECT DISTINCT tenant_id, assertion_id, subject_entity_id, object_entity_id FROM now),
      ed AS (SELECT DISTINCT * FROM (SELECT tenant_id, subject_entity_id AS src, object_entity_id AS dst FROM vis WHERE object_entity_id IS NOT NULL UNION ALL SELECT tenant_id, object_entity_id, subject_entity_id FROM vis WHERE object_entity_id IS NOT NULL) WHERE src <> dst),
      st AS (SELECT DISTINCT tenant_id, subject_entity_id AS start FROM vis WHERE {start}),
      l0 AS (SELECT tenant_id, start, start AS node, 0 AS distance FROM st),
@@ -241,7 +260,7 @@ _REACH = """,
 
 
 def _reached(spark, d, depth):
-    now = _assertions(spark, d).where(visible())
+    now = _current(spark, d).dropDuplicates(temporal.KEY)
     busiest = now.where("object_entity_id is not null").groupBy("subject_entity_id").count().orderBy(F.desc("count"), "subject_entity_id").first()
     starts = now.where(F.col("subject_entity_id") == (busiest["subject_entity_id"] if busiest else None)).select("tenant_id", F.col("subject_entity_id").alias("start"))
     return graph.distances(graph.entity_edges(now), starts, depth)
@@ -260,9 +279,9 @@ def graph_distance(spark, d):
     return _reached(spark, d, 3)
 
 
-@query(_NOW + _REACH.format(start="object_entity_id IS NOT NULL", depth=1) + "SELECT tenant_id, start, count(*) AS n_reached FROM re GROUP BY tenant_id, start")
+@query(_NOW + _REACH.format(start="object_entity_id IS NOT NULL", depth=2) + "SELECT tenant_id, start, count(*) AS n_reached FROM re GROUP BY tenant_id, start")
 def graph_reachable(spark, d):
-    now = _assertions(spark, d).where(visible())
+    now = _current(spark, d)
     starts = now.where("object_entity_id is not null").select("tenant_id", F.col("subject_entity_id").alias("start"))
     return graph.distances(graph.entity_edges(now), starts).groupBy("tenant_id", "start").agg(F.count(F.lit(1)).alias("n_reached"))
 

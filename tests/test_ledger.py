@@ -27,7 +27,7 @@ def now(df, h=1000):
 
 
 def test_conflict_is_kept_and_policies_select(spark):
-    df = frame(spark, [claim("a", '"4.8 kg"', 70, 1), claim("b", '"5.1 kg"', 60, 2)])
+    df = frame(spark, [claim("a", '"3 l"', 70, 1), claim("b", '"4 l"', 60, 2)])
     none = resolve.resolve(now(df)).first()
     assert (none["status"], none["selected_assertion_id"], none["n_candidates"]) == ("conflicted", None, 2)
     assert resolve.resolve(now(df), "latest").first()["selected_assertion_id"] == "b"
@@ -199,7 +199,43 @@ def test_search_reads_active_sources(spark):
 def test_reachable_goes_two_hops(spark, tmp_path):
     from chronofold.plans import ledger
 
-    rows = [("t", "a", "b", "active"), ("t", "b", "c", "active"), ("t", "c", "d", "active")]
-    spark.createDataFrame(rows, "tenant_id string, subject_entity_id string, object_entity_id string, status string").write.parquet(str(tmp_path / "assertions.parquet"))
+    rows = [claim(f"e{a}", f'"{b}"', subject=a, entity=b) for a, b in ("ab", "bc", "cd")]
+    frame(spark, rows).write.parquet(str(tmp_path / "assertions.parquet"))
     got = {r["start"]: r["n_reached"] for r in ledger.graph_reachable(spark, str(tmp_path)).collect()}
     assert got == {"a": 3, "b": 4, "c": 4}
+
+
+def test_nearest_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.integers(-3, 4, (120, 4)).astype(float)  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (None, [1.0, 0, 0, 0]), (501, [0.0] * 4), (3, x[3].tolist())]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").selectExpr("*", "1 as key_", "2 as rank_")
+    got = {(a, b): c for a, b, c in search.nearest_in_blocks(df.where("id % 10 = 0"), df, "id", "v", 7, rows_per_block=30, queries_per_block=5).collect()}
+    ok = [i for i in range(120) if x[i].any()]
+    want = {}
+    for q in (i for i in ok if i % 10 == 0):
+        sims = sorted((-(np.floor(x[q] @ x[i] / np.linalg.norm(x[q]) / np.linalg.norm(x[i]) * 1e6 + 0.5) / 1e6), i) for i in ok)
+        want |= {(q, i): -s for s, i in sims[:7]}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 2e-6 for p in got)
+    assert search.nearest_in_blocks(df.limit(0), df, "id", "v", 3).count() == search.nearest_in_blocks(df, df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_two_branches_join_vector_and_word_candidates(spark):
+    vec = lambda *x: "[" + ",".join(map(str, x)) + "]"
+    rows = [("t", "both", "red copper", vec(1, 0)), ("t", "near", "tin", vec(0.9, 0.1)), ("t", "word", "copper red", None), ("t", "half", "red", vec(-1, 0)), ("t", "bad", None, "[1,null]"), ("t", "both", "red copper", vec(1, 0))]
+    df = spark.createDataFrame(rows, "tenant_id string, assertion_id string, search_text string, embedding_json string")
+    got = [(r["assertion_id"], r["lexical"]) for r in search.two_branches(df, ["red", "copper"], [1.0, 0.0], candidate_limit=2).collect()]
+    assert got == [("both", 1.0), ("near", 0.0), ("word", 1.0)]
+    assert search.two_branches(df.limit(0), ["red"], [1.0]).count() == 0
+
+
+def test_graph_holds_only_edges_of_the_time(spark, tmp_path):
+    from chronofold.plans import ledger
+
+    far = datetime(2020, 1, 1, tzinfo=timezone.utc) - T0
+    hours = int(far.total_seconds() // 3600)
+    rows = [claim("e1", '"b"', system=hours, valid=hours, subject="a", entity="b"), claim("e2", '"c"', system=hours, valid=hours, subject="a", entity="c", valid_to=hours + 1), claim("e3", '"d"', system=48, valid=48, subject="a", entity="d")]
+    frame(spark, rows).write.parquet(str(tmp_path / "assertions.parquet"))
+    assert {r["node"] for r in ledger.graph_distance(spark, str(tmp_path)).collect()} == {"a", "b"}
