@@ -210,7 +210,7 @@ def test_nearest_in_blocks_equals_brute_force(spark):
 
     r = np.random.default_rng(3)
     x = r.integers(-3, 4, (120, 4)).astype(float)  # many ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (None, [1.0, 0, 0, 0]), (501, [0.0] * 4), (3, x[3].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (None, [1.0, 0.0, 0.0, 0.0]), (501, [0.0] * 4), (3, x[3].tolist())]
     df = spark.createDataFrame(rows, "id bigint, v array<double>").selectExpr("*", "1 as key_", "2 as rank_")
     got = {(a, b): c for a, b, c in search.nearest_in_blocks(df.where("id % 10 = 0"), df, "id", "v", 7, rows_per_block=30, queries_per_block=5).collect()}
     ok = [i for i in range(120) if x[i].any()]
