@@ -83,5 +83,5 @@ def classify(mode: Column, code: Column, has_reference: Column) -> Column:
 def totals_by_outcome(effects: DataFrame) -> DataFrame:
     """Amounts that are settled, still held and released, per tenant and currency."""
     rows = effects.where("budget_amount is not null").dropDuplicates(["tenant_id", "effect_id"])
-    amount = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("budget_amount"))), F.lit(0)).cast("double")
+    amount = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("budget_amount"))), F.lit(0)).cast("decimal(30,4)")
     return rows.groupBy("tenant_id", F.coalesce("currency", F.lit("")).alias("currency")).agg(amount("succeeded").alias("settled"), amount("planned", "unknown").alias("held"), amount("failed", "cancelled").alias("released"), F.count(F.lit(1)).alias("n"))

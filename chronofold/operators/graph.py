@@ -70,11 +70,13 @@ def trace(spark: SparkSession, edges: DataFrame, tenant: str, target: str, max_d
     mine = edges.where(F.col("tenant_id") == tenant)
     depth_of = {target: 0}
     kept: dict[str, tuple[str, str, str]] = {}
-    frontier = [target]
+    frontier, kept_here = [target], None
     for depth in range(1, max(0, min(MAX_DEPTH, max_depth)) + 1):
         if not frontier or len(kept) >= max_edges:
             break
-        near = mine.where(F.col("src").isin(frontier) | F.col("dst").isin(frontier))
+        if kept_here is None:  # the tenant's edges are read once, not once a level
+            kept_here = Scratch(spark, "trace").save(mine)
+        near = kept_here.where(F.col("src").isin(frontier) | F.col("dst").isin(frontier))
         fresh: list[str] = []
         for r in near.orderBy("at_us", "edge_id").limit(max_edges + 1 + len(kept)).collect():
             if r["edge_id"] in kept:

@@ -79,10 +79,9 @@ def head(history: DataFrame) -> DataFrame:
 
 
 def accepted_chain(history: DataFrame) -> DataFrame:
-    """Optimistic transitions: a revision is accepted if it follows the one before
-    it in number and state and all before it were; the first has revision 1."""
-    rows = history.groupBy("tenant_id", "instance_id", "revision").agg(F.min(F.struct("prior_state", "new_state")).alias("x")).select("tenant_id", "instance_id", "revision", "x.*")
-    w = Window.partitionBy("tenant_id", "instance_id").orderBy("revision")
-    fits = F.when(F.col("revision") == 1, True).otherwise((F.lag("revision").over(w) == F.col("revision") - 1) & (F.lag("new_state").over(w) == F.col("prior_state")))
-    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    return rows.select("tenant_id", "instance_id", "revision", F.min("fits").over(w).alias("accepted"))
+    """Optimistic transitions, see agency.transitions: a rejected one changes nothing, and
+    later ones go on from the head it left. Equal rows count once."""
+    from .agency import transitions
+
+    order = ["revision", "prior_state", "new_state"]
+    return transitions(history, order).select("tenant_id", "instance_id", "revision", "accepted")

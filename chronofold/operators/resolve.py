@@ -25,7 +25,7 @@ def resolve(candidates: DataFrame, policy: str = "none", by: list[str] = CLAIM)
     latest = F.max(F.struct("system_from", "assertion_id", "object_key"))
     strongest = F.max(F.struct("authority", "system_from", "assertion_id", "object_key"))
     g = candidates.dropDuplicates(["tenant_id", "assertion_id"]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.min("object_key").alias("lo"), F.max("object_key").alias("hi"), F.count_distinct("object_key").alias("n_objects"), latest.alias("latest"), strongest.alias("strongest"))
+        F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("object_key").alias("n_objects"), latest.alias("latest"), strongest.alias("strongest"))
     known = F.col("n_objects") <= 1
     status = F.when(known, "known").otherwise("conflicted" if policy == "none" else "resolved_with_conflict")
     pick = {"none": F.lit(None), "latest": F.col("latest.assertion_id"), "highest_authority": F.col("strongest.assertion_id")}[policy]

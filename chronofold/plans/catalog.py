@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger, streams, training
+from . import agency, ledger, streams, training
 
-_MODULES = [ledger, streams, training]
+_MODULES = [ledger, agency, streams, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

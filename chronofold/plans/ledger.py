@@ -13,6 +13,8 @@ from .sqlguard import read_sql
 
 AT = "2026-01-01 00:00:00"
 QUERY = "storage zone ledger"
+#: The tenant whose pages and best claims are shown, and the one served last.
+TENANT, SERVED = "tn_brine", "tn_ember"
 #: The subject with the most entity-valued assertions, the smallest of equals.
 START = "subject_entity_id = (SELECT subject_entity_id FROM vis WHERE object_entity_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 
@@ -58,8 +60,8 @@ def assert_as_of(spark, d):
 
 
 @query(_NOW + "SELECT assertion_id, authority, epoch_us(system_from) AS system_from_us FROM (SELECT DISTINCT assertion_id, authority, system_from FROM now WHERE tenant_id = 'tn_brine' AND perspective = 'organization') ORDER BY authority DESC, system_from DESC, assertion_id LIMIT 50")
-def assert_filtered_topk(spark, d):
-    rows = temporal.as_of(_assertions(spark, d), AT, tenant_id="tn_brine", perspective="organization").select("assertion_id", "authority", "system_from").distinct()
+def assert_filtered_topk(spark, d, tenant: str = TENANT):
+    rows = temporal.as_of(_assertions(spark, d), AT, tenant_id=tenant, perspective="organization").select("assertion_id", "authority", "system_from").distinct()
     return temporal.top_by_authority(rows, 50).select("assertion_id", "authority", us("system_from").alias("system_from_us"))
 
 
@@ -327,12 +329,23 @@ def _trace(spark, d):
     return graph.trace(spark, _lineage(spark, d), first["tenant_id"], "effect:" + first["effect_id"])
 
 
-@query()
+_TRACE = _EDGES + """,
+     target AS (SELECT tenant_id, 'effect:' || effect_id AS node FROM e WHERE decision_assertion_id IS NOT NULL AND policy_assertion_id IS NOT NULL ORDER BY effect_id, tenant_id LIMIT 1),
+     links AS (SELECT DISTINCT l.edge_id, l.relation, l.src, l.dst FROM l JOIN target t ON t.tenant_id = l.tenant_id),
+     d0 AS (SELECT node FROM target),
+     d1 AS (SELECT node FROM d0 UNION SELECT dst FROM links WHERE src IN (FROM d0) UNION SELECT src FROM links WHERE dst IN (FROM d0)),
+     d2 AS (SELECT node FROM d1 UNION SELECT dst FROM links WHERE src IN (FROM d1) UNION SELECT src FROM links WHERE dst IN (FROM d1)),
+     d3 AS (SELECT node FROM d2 UNION SELECT dst FROM links WHERE src IN (FROM d2) UNION SELECT src FROM links WHERE dst IN (FROM d2)),
+     d4 AS (SELECT node FROM d3 UNION SELECT dst FROM links WHERE src IN (FROM d3) UNION SELECT src FROM links WHERE dst IN (FROM d3))
+"""
+
+
+@query(_TRACE + "SELECT node, CAST(min(d) AS INTEGER) AS depth FROM (SELECT node, 0 AS d FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3 UNION ALL SELECT node, 4 FROM d4) GROUP BY node")
 def explain_trace_nodes(spark, d):
     return _trace(spark, d)[0]
 
 
-@query()
+@query(_TRACE + "SELECT edge_id, relation, src, dst FROM links WHERE src IN (FROM d3) OR dst IN (FROM d3)")
 def explain_trace_edges(spark, d):
     return _trace(spark, d)[1]
 
@@ -376,8 +389,8 @@ def workflow_head_mismatch(spark, d):
 _PAGE = "SELECT effect_id, epoch_us(created_at) AS created_us FROM (SELECT DISTINCT effect_id, created_at FROM effect_intents WHERE tenant_id = 'tn_brine') {} ORDER BY created_at, effect_id LIMIT 100"
 
 
-def _effects_of_tenant(spark, d):
-    return table(spark, d, "effect_intents").where("tenant_id = 'tn_brine'").select("effect_id", us("created_at").alias("created_us")).distinct()
+def _effects_of_tenant(spark, d, tenant: str = TENANT):
+    return table(spark, d, "effect_intents").where(F.col("tenant_id") == tenant).select("effect_id", us("created_at").alias("created_us")).distinct()
 
 
 @query(_PAGE.format(""))
@@ -405,8 +418,8 @@ def effect_lease_next(spark, d):
 
 
 @query("SELECT tenant_id, CAST(row_number() OVER (ORDER BY CASE WHEN tenant_id > 'tn_ember' THEN 0 ELSE 1 END, tenant_id) AS INTEGER) AS turn FROM (SELECT DISTINCT tenant_id FROM effect_intents)")
-def effect_tenant_rotation(spark, d):
-    return folds.rotation(table(spark, d, "effect_intents"), "tn_ember")
+def effect_tenant_rotation(spark, d, served: str = SERVED):
+    return folds.rotation(table(spark, d, "effect_intents"), served)
 
 
 @query("SELECT DISTINCT attempt_count, CAST(least(3600, 30 * pow(2, least(attempt_count, 6))) AS INTEGER) AS delay_s FROM effect_intents")
@@ -426,11 +439,13 @@ def effect_classify(spark, d):
 
 
 @query("""
-SELECT tenant_id, coalesce(currency, '') AS currency, CAST(coalesce(sum(budget_amount) FILTER (status = 'succeeded'), 0) AS DOUBLE) AS settled, CAST(coalesce(sum(budget_amount) FILTER (status IN ('planned', 'unknown')), 0) AS DOUBLE) AS held,
-       CAST(coalesce(sum(budget_amount) FILTER (status IN ('failed', 'cancelled')), 0) AS DOUBLE) AS released, count(*) AS n
+SELECT tenant_id, coalesce(currency, '') AS currency, CAST(coalesce(sum(budget_amount) FILTER (status = 'succeeded'), 0) AS DECIMAL(30, 4))::VARCHAR AS settled, CAST(coalesce(sum(budget_amount) FILTER (status IN ('planned', 'unknown')), 0) AS DECIMAL(30, 4))::VARCHAR AS held,
+       CAST(coalesce(sum(budget_amount) FILTER (status IN ('failed', 'cancelled')), 0) AS DECIMAL(30, 4))::VARCHAR AS released, count(*) AS n
 FROM (SELECT DISTINCT tenant_id, effect_id, currency, status, budget_amount FROM effect_intents WHERE budget_amount IS NOT NULL) GROUP BY ALL""")
 def budget_settlement(spark, d):
-    return folds.totals_by_outcome(table(spark, d, "effect_intents"))
+    """Amounts as text, which is exact on either side."""
+    out = folds.totals_by_outcome(table(spark, d, "effect_intents"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("settled", "held", "released")})
 
 
 @query("""

@@ -42,4 +42,9 @@ WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts)
      s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
 SELECT epoch_us(min(ts)) AS from_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS to_us, user_id, count(*) AS n FROM s GROUP BY user_id, no""",
     "stream_workflow": _CHAIN,
+    # A hold ends a day after its first event unless an event with done came; it fires when the
+    # watermark, an hour behind the latest event, has passed it.
+    "stream_timers": """
+SELECT user_id || '/' || event_type AS key, epoch_us(min(ts)) + 86400000000 AS due_us FROM events GROUP BY user_id, event_type
+HAVING NOT bool_or(value > 1000) AND due_us // 1000 + 1 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,17 +30,34 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is
-    unset (tests, one machine) a local folder is made."""
+    """The folder all executors share: spark.checkpoint.dir. Only on a local master may it
+    be unset; a local folder is made then. Elsewhere executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="chronofold-")
     return _LOCAL[app]
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder under the shared one that goes when the driver ends."""
+    root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    _MADE[root] = spark
+    return root
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what the session's queries wrote to the shared folder so far, for sessions
+    that live long. Results that were not read or written yet are lost."""
+    for root in [r for r, s in _MADE.items() if s is spark]:
+        _delete(spark, root)
+        del _MADE[root]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,13 +67,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder. A written table cuts the lineage and
     survives the loss of executors; loops drop the rounds they no longer read.
-    What is left goes when the driver ends."""
+    What is left goes with release() or when the driver ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        self.root = scratch_folder(spark, what)
         self._n = 0
-        _MADE[self.root] = spark
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1

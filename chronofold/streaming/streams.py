@@ -7,7 +7,6 @@ outputs lie in the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import shared_folder
+from ..session import scratch_folder
 
 
 def read(spark: SparkSession, path: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -52,7 +51,7 @@ def transitions(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         revision, current = state.get if state.exists else (0, None)
-        rows = pd.concat(list(frames)).sort_values(["revision", "prior_state"]).drop_duplicates(["revision"])
+        rows = pd.concat(list(frames)).sort_values(["revision", "prior_state", "new_state"]).drop_duplicates(["revision", "prior_state", "new_state"])
         out = []
         for r, prior, new in zip(rows["revision"], rows["prior_state"], rows["new_state"]):
             ok = bool(r == revision + 1 and (revision == 0 or prior == current))
@@ -93,7 +92,7 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame]
     """Everything the stream gives for what is there now, from a Parquet sink (append)
     or, in complete mode, from the last batch."""
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    root = scratch_folder(spark, "stream")
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", f"{root}/out").start()
