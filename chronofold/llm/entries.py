@@ -67,5 +67,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p2_neighbours, p6_pack_tiers, p6_tiers_report, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_report)}
 
 
+_VECTORS = """
+WITH r AS (SELECT DISTINCT tenant_id, assertion_id, embedding_json AS j FROM assertions),
+     v AS (SELECT tenant_id, assertion_id, any_value(TRY_CAST(j AS DOUBLE[])) AS x FROM r
+           WHERE json_valid(j) AND json_type(TRY_CAST(j AS JSON)) = 'ARRAY' AND json_array_length(TRY_CAST(j AS JSON)) = 64
+             AND len(list_filter(json_extract(TRY_CAST(j AS JSON), '$[*]'), lambda e: json_type(e) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) = 0 GROUP BY ALL),
+     u AS (SELECT tenant_id, assertion_id, list_transform(x, lambda e: e / sqrt(list_inner_product(x, x))) AS x FROM v WHERE len(list_filter(x, lambda e: NOT isfinite(e))) = 0 AND list_inner_product(x, x) > 0),
+     p AS (SELECT a.tenant_id, a.assertion_id AS id, b.assertion_id AS neighbour, list_inner_product(a.x, b.x) AS cosine FROM u a JOIN u b ON b.tenant_id = a.tenant_id AND b.assertion_id <> a.assertion_id),
+     n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY tenant_id, id ORDER BY cosine DESC, neighbour) <= 5)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only these two are functions of the tables that SQL can state: brute force over all
+    pairs of a tenant, against which the index is compared at sf0.01."""
+    return {
+        "p2_found": _VECTORS + "SELECT DISTINCT least(id, neighbour) AS assertion_id_a, greatest(id, neighbour) AS assertion_id_b FROM n WHERE cosine >= 0.90",
+    }
