@@ -67,10 +67,17 @@ def page(df: DataFrame, order: list[str], limit: int | None, after: tuple | None
 
 
 def ends_of_group(df: DataFrame, keys: list[str], order: list[str], n: int = 10) -> DataFrame:
-    """The first and last n rows of each group, with the size of the group."""
-    up, down = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
-    rows = df.withColumn("first_rank", F.row_number().over(up)).withColumn("last_rank", F.row_number().over(down))
-    return rows.withColumn("n_in_group", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where((F.col("first_rank") <= n) | (F.col("last_rank") <= n))
+    """The first and last n rows of each group, with the size of the group. Either end is a
+    top n, of which each task keeps n rows a group before anything is moved."""
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in_group"))
+
+    def end(name: str, by: list) -> DataFrame:
+        top = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(name) <= n)
+        return top.join(size, keys)
+
+    first = end("first_rank", order).withColumn("last_rank", (F.col("n_in_group") - F.col("first_rank") + 1).cast("int"))
+    last = end("last_rank", [F.desc(o) for o in order]).withColumn("first_rank", (F.col("n_in_group") - F.col("last_rank") + 1).cast("int")).where(F.col("first_rank") > n)
+    return first.unionByName(last)
 
 
 def head(history: DataFrame) -> DataFrame:

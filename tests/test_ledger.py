@@ -239,3 +239,27 @@ def test_graph_holds_only_edges_of_the_time(spark, tmp_path):
     rows = [claim("e1", '"b"', system=hours, valid=hours, subject="a", entity="b"), claim("e2", '"c"', system=hours, valid=hours, subject="a", entity="c", valid_to=hours + 1), claim("e3", '"d"', system=48, valid=48, subject="a", entity="d")]
     frame(spark, rows).write.parquet(str(tmp_path / "assertions.parquet"))
     assert {r["node"] for r in ledger.graph_distance(spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("per_task", [1_000_000, 7])
+def test_percentiles_are_exact_with_blocks(spark, per_task):
+    import math
+    import random
+
+    r = random.Random(1)
+    rows = [("a", float(r.randint(0, 40))) for _ in range(101)] + [("b", float(i)) for i in range(6)] + [("c", None), (None, 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").selectExpr("*", "1 as g_", "2 as n_")
+    got = {x["k"]: x for x in metrics.percentiles(df, ["k"], "v", {"p10": 0.1, "p95": 0.95}, per_task).collect()}
+    for k in ("a", "b", None):
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert (got[k]["p10"], got[k]["p95"], got[k]["n"]) == (v[math.ceil(0.1 * len(v)) - 1], v[math.ceil(0.95 * len(v)) - 1], len(v))
+        assert got[k]["median"] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert (got["c"]["n"], got["c"]["p10"], got["c"]["median"]) == (0, None, None)
+    assert metrics.percentiles(df.limit(0), ["k"], "v", {"p10": 0.1}).count() == 0
+
+
+def test_ends_of_groups_of_any_size(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 7), ("b", 3), ("c", 1), ("d", 4)) for i in range(n)], "k string, i int")
+    got = {(r["k"], r["i"]): (r["first_rank"], r["last_rank"], r["n_in_group"]) for r in records.ends_of_group(df, ["k"], ["i"], 2).collect()}
+    want = {(k, i): (i + 1, n - i, n) for k, n in (("a", 7), ("b", 3), ("c", 1), ("d", 4)) for i in range(n) if i < 2 or n - i <= 2}
+    assert got == want
