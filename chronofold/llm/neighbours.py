@@ -340,7 +340,8 @@ def _coarse(vectors: DataFrame, dims: int, shard_rows: int, fit_rows: int) -> di
         x = fit.get(r["g"])
         if x:
             p = unit(decode([bytes(v) for v in x], dims)).astype(np.float32) @ pool
-            out[r["g"]] = Forest(p, 1, max(2, shard_rows / r["n"] * len(x)), 7)
+            out[r["g"]] = tree = Forest(p, 1, max(2, shard_rows / r["n"] * len(x)), 7)
+            tree.members = [np.zeros(0, int)] * len(tree.members)  # routing needs their number only
     return out
 
 
