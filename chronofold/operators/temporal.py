@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import us, visible
+from .common import bisect, quantile_cuts, us, visible
 
 KEY = ["tenant_id", "assertion_id"]
 
@@ -38,11 +38,25 @@ def top_by_authority(df: DataFrame, limit: int = 100) -> DataFrame:
     return df.orderBy(F.desc("authority"), F.desc("system_from"), "assertion_id").limit(max(1, min(1000, limit)))
 
 
-def timeline(assertions: DataFrame) -> DataFrame:
-    """Recorded versions in order within their claim, with the next one's time."""
-    w = Window.partitionBy("tenant_id", "subject_entity_id", "predicate", "perspective").orderBy("system_from", "assertion_id")
-    rows = once(assertions, KEY, ["subject_entity_id", "predicate", "perspective", "system_from"])
-    return rows.select("tenant_id", "assertion_id", F.row_number().over(w).alias("version_no"), us("system_from").alias("from_us"), F.lead(us("system_from")).over(w).alias("next_us"))
+def timeline(assertions: DataFrame, versions_per_task: int = 1_000_000) -> DataFrame:
+    """Recorded versions in order within their claim, with the next one's time. A claim of
+    many versions is cut into blocks of time; each block carries the number of versions
+    before it and the first time after it."""
+    claim = ["tenant_id", "subject_entity_id", "predicate", "perspective"]
+    rows = once(assertions, KEY, [*claim[1:], "system_from"]).select(F.struct(*claim).alias("g_"), "assertion_id", us("system_from").alias("from_us"))  # structs compare with nulls inside
+    cuts, most = quantile_cuts(rows, ["g_"], "from_us", versions_per_task, "cuts_")
+    block = F.lit(0) if cuts is None else F.coalesce(bisect("cuts_", "from_us", most), F.lit(0))
+    rows = (rows if cuts is None else rows.join(cuts, "g_", "left")).select("g_", "assertion_id", "from_us", block.alias("block_"))
+    w = Window.partitionBy("g_", "block_").orderBy("from_us", "assertion_id")
+    rows = rows.withColumn("no_", F.row_number().over(w)).withColumn("next_us", F.lead("from_us").over(w))
+    number, later = F.col("no_"), F.col("next_us")
+    if cuts is not None:
+        across = Window.partitionBy("g_").orderBy("block_")
+        blocks = rows.groupBy("g_", "block_").agg(F.count(F.lit(1)).alias("n_"), F.min("from_us").alias("first_"))
+        blocks = blocks.select("g_", "block_", F.coalesce(F.sum("n_").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"), F.lead("first_").over(across).alias("after_"))
+        rows = rows.join(blocks, ["g_", "block_"])
+        number, later = (F.col("base_") + F.col("no_")).cast("int"), F.coalesce("next_us", "after_")
+    return rows.select("g_.tenant_id", "assertion_id", number.alias("version_no"), "from_us", later.alias("next_us"))
 
 
 def derived_system_to(assertions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ are derived here by plain rules, alike in the query and in its twin."""
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -281,3 +282,25 @@ def delivery_counters(spark, d):
     e = table(spark, d, "effect_intents").groupBy("tenant_id", "effect_id").agg(F.max("status").alias("status"), F.max("attempt_count").alias("attempt_count"), F.count(F.lit(1)).alias("copies"))
     n = lambda c: F.sum(c.cast("long"))
     return e.groupBy("tenant_id", "status").agg(n(F.col("attempt_count") > 0).alias("n_delivered"), n(F.greatest(F.col("attempt_count") - 1, F.lit(0))).alias("n_repeats"), (n(F.col("copies") == 2) > 0).alias("delivered_twice"))
+
+
+@query("SELECT DISTINCT tenant_id, instance_id, revision, 'event_' || substr(sha256(concat(tenant_id, chr(0), instance_id, chr(0), revision, chr(0), transition_name, chr(0))), 1, 32) AS event_id FROM machine_history")
+def history_event_ids(spark, d):
+    return table(spark, d, "machine_history").select("tenant_id", "instance_id", "revision", S.make_id("event", "tenant_id", "instance_id", "revision", "transition_name").alias("event_id")).distinct()
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT 'store/' || content_hash AS path, content_hash AS name, CASE WHEN content_hash >= 'f' THEN sha256(content) ELSE content_hash END AS sha, epoch_us(created_at) AS us FROM artifacts)
+SELECT path, 'unreferenced' AS fault FROM f WHERE us < epoch_us({_T}) AND sha NOT IN (SELECT content_hash FROM artifacts WHERE status <> 'deleted')
+UNION ALL SELECT path, 'damaged' FROM f WHERE regexp_full_match(name, '[0-9a-f]{{64}}') AND name <> sha""")
+def artifact_reconciliation(spark, d):
+    """Stored bodies that no kept artifact refers to, or whose bytes are not what their name
+    says; bodies from f on are taken for damaged."""
+    from ..sources.files import damaged_files, unreferenced_files
+
+    a = table(spark, d, "artifacts")
+    sha = F.when(F.col("content_hash") >= "f", F.sha2("content", 256)).otherwise(F.col("content_hash"))
+    files = a.select(F.concat(F.lit("store/"), "content_hash").alias("path"), F.col("content_hash").alias("name"), sha.alias("sha"), us("created_at").alias("modified_us")).distinct()
+    at = round(datetime.fromisoformat(AT + "+00:00").timestamp() * 1e6)
+    lost = unreferenced_files(files, a.where("status <> 'deleted'"), at).select("path", F.lit("unreferenced").alias("fault"))
+    return lost.unionByName(damaged_files(files).select("path", F.lit("damaged").alias("fault")))

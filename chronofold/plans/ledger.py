@@ -162,11 +162,24 @@ def artifact_dedup(spark, d):
     return records.artifact_heads(table(spark, d, "artifacts"))
 
 
-@query("""
+#: The artifacts, and for some a second delivery of another type or source.
+_DELIVERIES = """
+WITH deliveries AS (SELECT tenant_id, artifact_id, content, content_hash, media_type, source_identity, created_at FROM artifacts
+  UNION ALL SELECT tenant_id, artifact_id, content, content_hash, CASE WHEN content_hash < '2' THEN 'other/type' ELSE media_type END, CASE WHEN content_hash >= 'e' THEN 'other source' ELSE source_identity END, created_at + INTERVAL 1 DAY FROM artifacts WHERE content_hash < '3' OR content_hash >= 'e')
+"""
+
+
+def _deliveries(spark, d):
+    a = table(spark, d, "artifacts").select("tenant_id", "artifact_id", "content", "content_hash", "media_type", "source_identity", F.col("created_at").cast("timestamp").alias("created_at"))
+    again = a.where("content_hash < '3' or content_hash >= 'e'").withColumns({"media_type": F.when(F.col("content_hash") < "2", "other/type").otherwise(F.col("media_type")), "source_identity": F.when(F.col("content_hash") >= "e", "other source").otherwise(F.col("source_identity")), "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY")})
+    return a.unionByName(again)
+
+
+@query(_DELIVERIES + """
 SELECT tenant_id, artifact_id, count(DISTINCT content_hash) AS n_content_hash, count(DISTINCT media_type) AS n_media_type, count(DISTINCT source_identity) AS n_source_identity
-FROM artifacts GROUP BY tenant_id, artifact_id HAVING n_content_hash > 1 OR n_media_type > 1 OR n_source_identity > 1""")
+FROM deliveries GROUP BY tenant_id, artifact_id HAVING n_content_hash > 1 OR n_media_type > 1 OR n_source_identity > 1""")
 def artifact_conflicts(spark, d):
-    return records.artifact_conflicts(table(spark, d, "artifacts"))
+    return records.artifact_conflicts(_deliveries(spark, d))
 
 
 @query("SELECT tenant_id, content_hash, count(DISTINCT artifact_id) AS n_ids, min(artifact_id) AS first_id FROM artifacts GROUP BY tenant_id, content_hash HAVING n_ids > 1")
@@ -378,11 +391,12 @@ def workflow_accepted(spark, d):
 
 @query("""
 WITH h AS (SELECT tenant_id, instance_id, max(revision) AS revision, arg_max(new_state, revision) AS state FROM machine_history GROUP BY ALL)
-SELECT i.tenant_id, i.instance_id, i.revision, h.revision AS history_revision FROM (SELECT DISTINCT tenant_id, instance_id, revision, state FROM machine_instances) i
+SELECT i.tenant_id, i.instance_id, i.revision, h.revision AS history_revision FROM (SELECT DISTINCT tenant_id, instance_id, CAST(revision + CASE WHEN revision % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS revision, state FROM machine_instances) i
 LEFT JOIN h ON h.tenant_id = i.tenant_id AND h.instance_id = i.instance_id WHERE h.revision IS NULL OR h.revision <> i.revision OR h.state <> i.state""")
 def workflow_head_mismatch(spark, d):
     heads = records.head(table(spark, d, "machine_history")).select("tenant_id", "instance_id", F.col("revision").alias("history_revision"), F.col("state").alias("s_"))
-    rows = table(spark, d, "machine_instances").select("tenant_id", "instance_id", "revision", "state").distinct()
+    ahead = F.col("revision") + F.when(F.col("revision") % 5 == 0, 1).otherwise(0)  # every fifth is taken for one revision ahead
+    rows = table(spark, d, "machine_instances").select("tenant_id", "instance_id", ahead.cast("int").alias("revision"), "state").distinct()
     return rows.join(heads, ["tenant_id", "instance_id"], "left").where("history_revision is null or history_revision <> revision or s_ <> state").select("tenant_id", "instance_id", "revision", "history_revision")
 
 
@@ -546,10 +560,11 @@ def integrity_checks(spark, d):
     return audit.violations(_assertions(spark, d))
 
 
-@query("SELECT DISTINCT tenant_id, effect_id, instance_id FROM effect_intents e WHERE NOT EXISTS (SELECT 1 FROM machine_instances m WHERE m.tenant_id = e.tenant_id AND m.instance_id = e.instance_id)")
+@query("SELECT DISTINCT tenant_id, effect_id, instance_id FROM effect_intents e WHERE NOT EXISTS (SELECT 1 FROM machine_instances m WHERE m.revision <> 3 AND m.tenant_id = e.tenant_id AND m.instance_id = e.instance_id)")
 def fk_orphans(spark, d):
     rows = table(spark, d, "effect_intents").select("tenant_id", "effect_id", "instance_id").distinct()
-    return audit.without_parent(rows, table(spark, d, "machine_instances"), {"tenant_id": "tenant_id", "instance_id": "instance_id"})
+    kept = table(spark, d, "machine_instances").where("revision <> 3")  # those of revision 3 are taken for lost
+    return audit.without_parent(rows, kept, {"tenant_id": "tenant_id", "instance_id": "instance_id"})
 
 
 @query("SELECT max(t) AS latest_us FROM (SELECT max(epoch_us(system_from)) AS t FROM assertions UNION ALL SELECT max(epoch_us(created_at)) FROM artifacts UNION ALL SELECT max(epoch_us(created_at)) FROM effect_intents UNION ALL SELECT max(epoch_us(created_at)) FROM machine_history)")
@@ -576,13 +591,16 @@ def context_bundle(spark, d):
     return spark.createDataFrame([(s["name"], s["complete"], s["characters"], s["text"]) for s in b["sections"]], "section string, complete boolean, characters int, text string")
 
 
-@query("""
-WITH r AS (SELECT tenant_id, artifact_id, created_at, concat(sha256(content), chr(0), media_type, chr(0), source_identity) AS body FROM artifacts),
-     f AS (SELECT tenant_id, artifact_id, min(struct_pack(a := created_at, b := body)).b AS kept FROM r GROUP BY ALL)
-SELECT r.tenant_id, r.artifact_id, CASE WHEN count(*) FILTER (body <> kept) > 0 THEN 'conflict' WHEN count(*) > 1 THEN 'replayed' ELSE 'inserted' END AS outcome, count(*) AS n_requests, count(*) FILTER (body <> kept) AS n_conflicts
-FROM r JOIN f ON f.tenant_id = r.tenant_id AND f.artifact_id = r.artifact_id GROUP BY r.tenant_id, r.artifact_id""")
+@query(_DELIVERIES + """,
+     q AS (SELECT tenant_id, artifact_id, created_at, concat(sha256(content), chr(0), media_type, chr(0), source_identity) AS body FROM deliveries),
+     o AS (SELECT tenant_id, artifact_id, min(concat(content_hash, chr(0), 'text/ledger', chr(0), source_identity)) AS before FROM artifacts WHERE content_hash >= '5' AND content_hash < '6' GROUP BY ALL),
+     f AS (SELECT q.tenant_id, q.artifact_id, coalesce(o.before, x.b) AS kept, o.before IS NOT NULL AS old FROM (SELECT tenant_id, artifact_id, min(struct_pack(a := created_at, b := body)).b AS b FROM q GROUP BY ALL) x JOIN (SELECT DISTINCT tenant_id, artifact_id FROM q) q ON q.tenant_id = x.tenant_id AND q.artifact_id = x.artifact_id LEFT JOIN o ON o.tenant_id = q.tenant_id AND o.artifact_id = q.artifact_id)
+SELECT q.tenant_id, q.artifact_id, CASE WHEN count(*) FILTER (body <> kept) > 0 THEN 'conflict' WHEN bool_or(old) OR count(*) > 1 THEN 'replayed' ELSE 'inserted' END AS outcome, count(*) AS n_requests, count(*) FILTER (body <> kept) AS n_conflicts
+FROM q JOIN f ON f.tenant_id = q.tenant_id AND f.artifact_id = q.artifact_id GROUP BY q.tenant_id, q.artifact_id""")
 def intake_artifacts(spark, d):
-    return intake.put_artifacts(table(spark, d, "artifacts"))
+    """Deliveries against a ledger that holds some artifacts under another type."""
+    ledger = table(spark, d, "artifacts").where("content_hash >= '5' and content_hash < '6'").withColumn("media_type", F.lit("text/ledger"))
+    return intake.put_artifacts(_deliveries(spark, d), ledger)
 
 
 @query("""

@@ -263,3 +263,10 @@ def test_ends_of_groups_of_any_size(spark):
     got = {(r["k"], r["i"]): (r["first_rank"], r["last_rank"], r["n_in_group"]) for r in records.ends_of_group(df, ["k"], ["i"], 2).collect()}
     want = {(k, i): (i + 1, n - i, n) for k, n in (("a", 7), ("b", 3), ("c", 1), ("d", 4)) for i in range(n) if i < 2 or n - i <= 2}
     assert got == want
+
+
+def test_timeline_in_blocks(spark):
+    rows = [claim(f"a{i:02d}", f'"{i}"', system=(i * 7) % 23 // 2) for i in range(23)] + [claim("z", '"z"', subject="other")]
+    df = frame(spark, rows)
+    whole, cut = ({tuple(r) for r in temporal.timeline(df, n).collect()} for n in (1_000_000, 4))
+    assert whole == cut and len(cut) == 24
