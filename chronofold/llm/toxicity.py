@@ -47,7 +47,7 @@ BITS = 20
 #: Log lift (three standard errors below its estimate) from which passages of low-scoring confirmed texts count as a missed family.
 MISSED = 1.0
 #: ... if so many texts share the feature.
-LEAST = 5
+LEAST = 4
 #: Score of a text without words.
 EMPTY = -20.0
 
