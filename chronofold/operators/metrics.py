@@ -31,10 +31,9 @@ def percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float],
     rows = rows.select(F.struct(*(f"by{i}_" for i in range(len(by)))).alias("g_"), "v_")  # structs compare with nulls inside
     some = rows.where("v_ is not null")
     cuts, most = quantile_cuts(some, ["g_"], "v_", values_per_task, "cuts_")
-    if cuts is None:
-        some = some.withColumn("b_", F.lit(0))
-    else:
-        some = some.join(cuts, "g_", "left").select("g_", "v_", F.coalesce(bisect("cuts_", "v_", most), F.lit(0)).alias("b_"))
+    if cuts is None:  # no group is large
+        return df.groupBy(*by).agg(*(F.expr(f"percentile_disc({p}) within group (order by `{value}`)").alias(name) for name, p in at.items()), F.median(value).alias("median"), F.count(value).alias("n"))
+    some = some.join(cuts, "g_", "left").select("g_", "v_", F.coalesce(bisect("cuts_", "v_", most), F.lit(0)).alias("b_"))
     counts = some.groupBy("g_", "b_", "v_").agg(F.count(F.lit(1)).alias("c_"))
     blocks = counts.groupBy("g_", "b_").agg(F.sum("c_").alias("s_"))
     group = Window.partitionBy("g_")
